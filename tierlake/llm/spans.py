@@ -86,11 +86,11 @@ def paths(docs: DataFrame) -> DataFrame:
     run's members follow each other in every text that holds it, a text's k-mers in order, joined with the counts of
     their nodes, show where its runs begin.
     """
-    places = nodes(docs).dropDuplicates(["class", "ord", "node"])
+    places = nodes(docs)  # copies of a text in several tasks repeat its rows, which changes none of the tests below
     ends = [F.count("prev").alias("n_prev"), F.count("next").alias("n_next"), F.count("*").alias("n")]
     stats = places.groupBy("node").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("x0"), F.max("next").alias("x1"), *ends)
     repeated = stats.where("c0 <> c1").select("node", F.expr("p0 = p1 and n_prev = n").alias("one_in"), F.expr("x0 = x1 and n_next = n").alias("one_out"))
-    kept = places.select("node", "class", "ord", "pos").join(repeated, "node")
+    kept = places.select("node", "class", "ord", "pos").join(repeated, "node").dropDuplicates(["class", "ord"])
     along = Window.partitionBy("class").orderBy("ord")
     follows = (F.lag("ord").over(along) == F.col("ord") - 1) & F.lag("one_out").over(along) & F.coalesce(F.col("one_in"), F.lit(False))
     begun = kept.withColumn("begins", ~F.coalesce(follows, F.lit(False)))
