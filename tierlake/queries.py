@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierlake.operators import drift, shred
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_RECORDS, _FILES = _table("raw_records"), _table("layer_files")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p2_found": lambda s, d: shred.links(_RECORDS(s, d)),
+        "p2_nodes": lambda s, d: shred.shred(_RECORDS(s, d)),
+        "p2_notes": lambda s, d: shred.entities(shred.shred(_RECORDS(s, d)), "note_id", ["body", "by"]).drop("up"),
+        "p6_found": lambda s, d: drift.changes(_FILES(s, d)),
+        "p6_layers": lambda s, d: drift.consistent(_FILES(s, d)),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
