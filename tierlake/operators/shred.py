@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierlake.plans.shared import cut
+
 NODES = "rec_id bigint, node int, parent int, label string, ordinal int, kind string, scalar string, up array<int>"
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
 _NAMES = [f.split()[0] for f in NODES.split(", ")]
@@ -158,5 +160,6 @@ def note_links(nodes: DataFrame, named_by: str = "note_id") -> DataFrame:
 
 def links(records: DataFrame) -> DataFrame:
     """(rec_id, parent_id, child_id): ``layer_links`` and ``note_links`` of records (rec_id, content); see ``shred`` for null and invalid ones."""
-    nodes = shred(records)
+    nodes = shred(records).withColumn("scalar", F.expr("if(label in ('note_id', 'name', 'base'), scalar, null)"))
+    nodes = cut(nodes.where("kind <> 'scalar' or scalar is not null"))  # shredded once, without the texts
     return layer_links(nodes).union(note_links(nodes)).distinct()
