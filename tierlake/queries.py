@@ -1,23 +1,242 @@
-"""The queries of the core operators and the SQL that they are compared with."""
+"""The queries of the core operators, each over the whole test tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierlake.operators import drift, shred
+from tierlake.demo import CATALOG, LAYERS, corpus
+from tierlake.functions.values import shown
+from tierlake.operators import drift, frequency, ids, mutate, shred, tokenize
+from tierlake.operators.predicates import And, Exists, GreaterThan, GreaterThanEqual, In, LessThan, LessThanEqual, Not, NotIn, Or, Query, Regex, Text, TextNot, TextRegex, Value_, ValueNot
+from tierlake.operators.render import render
+from tierlake.plans import planner
+from tierlake.plans.shared import cut, shared_dir
+from tierlake.sources import files, ingest
+from tierlake.streaming import jsonl
 
+Run = Callable[[SparkSession, str], DataFrame]
 
-def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+
+def _table(name: str) -> Run:
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_RECORDS, _FILES = _table("raw_records"), _table("layer_files")
+_RECORDS, _FILES, _DOCS, _UPDATES = _table("raw_records"), _table("layer_files"), _table("documents"), _table("doc_updates")
+
+
+def _pieces(name: str) -> Run:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return corpus(s, d).select("doc_id", F.posexplode(LAYERS.text(name)).alias("ord", "piece")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "piece")
+
+    return run
+
+
+def _positions(name: str, target: str) -> Run:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        each = corpus(s, d).select("doc_id", F.posexplode(LAYERS.indexes(name, target)).alias("ord", "x"))
+        return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))])
+
+    return run
+
+
+def _search(query: Query) -> Run:
+    return lambda s, d: planner.search(corpus(s, d), LAYERS, query).select("doc_id")
+
+
+def _indexes_data(s: SparkSession, d: str) -> DataFrame:
+    each = corpus(s, d).select("doc_id", F.posexplode(LAYERS.indexes_data("pos", "text")).alias("ord", "x"))
+    return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))], shown(F.col("x.d")).alias("value"))
+
+
+def _layer_len(s: SparkSession, d: str) -> DataFrame:
+    sizes = F.create_map(*[x for n in CATALOG for x in (F.lit(n), LAYERS.length(n))])
+    return corpus(s, d).select("doc_id", F.explode(sizes).alias("layer", "n")).where("n is not null").select("doc_id", "layer", F.col("n").cast("bigint").alias("n"))
+
+
+def _text_corpus(s: SparkSession, d: str) -> DataFrame:
+    return _DOCS(s, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("doc_pos"), "text")
+
+
+_TEXT_ONLY = type(CATALOG)({"text": CATALOG["text"]})
+
+
+def _ids(s: SparkSession, d: str) -> DataFrame:
+    return ids.assign(_text_corpus(s, d), _TEXT_ONLY).select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"))
+
+
+def _indexes(docs: DataFrame) -> dict[str, DataFrame]:
+    return {n: planner.create_index(docs, LAYERS, n) for n in ("pos", "lemma")}
+
+
+_BY_INDEX = And((Value_("pos", "NUM"), Or((In("lemma", ("winter", "river")), Value_("pos", "PRON")))))
+
+
+def _index_search(s: SparkSession, d: str) -> DataFrame:
+    docs = corpus(s, d)
+    return planner.search(docs, LAYERS, _BY_INDEX, _indexes(docs)).select("doc_id")
+
+
+def _estimates(s: SparkSession, d: str) -> DataFrame:
+    docs = corpus(s, d)
+    index = {"pos": cut(planner.create_index(docs, LAYERS, "pos"))}
+    asked = {"value": Value_("pos", "NUM"), "and": And((Value_("pos", "NUM"), In("pos", ("DET", "NOUN")))), "or": Or((Value_("pos", "NUM"), Value_("pos", "det"))), "none": Value_("pos", "absent"), "no index": Text("words", "x")}
+    return s.createDataFrame([(k, planner.estimate(docs, q, index)) for k, q in asked.items()], "query string, n bigint")
+
+
+def _latest(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, op, layer, payload) of the latest change of each document."""
+    newest = F.max_by(F.struct("op", "layer", "payload"), F.struct("occurred_at", "upd_id", "received_at")).alias("x")
+    return _UPDATES(s, d).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(newest).select("doc_id", "x.*")
+
 
+def _removed(s: SparkSession, d: str) -> DataFrame:
+    return mutate.remove(_text_corpus(s, d), _latest(s, d).where("op = 'remove'")).select(F.col("doc_pos").alias("doc_id"), "text")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def _updated(s: SparkSession, d: str) -> DataFrame:
+    """The texts after the latest change of each document, where that gives a text; ids follow the new texts."""
+    docs = ids.assign(_text_corpus(s, d).withColumn("key", F.col("doc_id")), _TEXT_ONLY)
+    patch = _latest(s, d).where("op <> 'remove' and layer = 'text'").select(F.col("doc_id").alias("key"), F.expr("get_json_object(concat('[', payload, ']'), '$[0]')").alias("text")).where("text is not null")
+    named = patch.join(docs.select("key", "doc_id"), "key").select("doc_id", "text")
+    return mutate.update(docs, named, _TEXT_ONLY).select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"), "text")
+
+
+def _added(s: SparkSession, d: str) -> DataFrame:
+    """The records of doc_updates that add a text, as documents after those of the corpus."""
+    docs = ids.assign(_text_corpus(s, d), _TEXT_ONLY)
+    new = _UPDATES(s, d).where("op = 'add' and layer = 'text'").groupBy("upd_id").agg(F.min("payload").alias("payload")).select(F.lit(None).cast("string").alias("doc_id"), F.col("upd_id").alias("doc_pos"), F.expr("get_json_object(concat('[', payload, ']'), '$[0]')").alias("text"))
+    return mutate.add(docs, new, _TEXT_ONLY).select("doc_pos", F.col("doc_id").alias("id"), "text")
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    each = _DOCS(s, d).select("doc_id", F.posexplode(tokenize.tokens(F.col("text"), tokenize.SHARED)).alias("ord", "x"))
+    return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))], "x.token")
+
+
+def _info(s: SparkSession, d: str) -> DataFrame:
+    docs = corpus(s, d)
+    return docs.agg(F.count("*").alias("documents"), *[F.count(F.col(n)).alias(f"with_{n}") for n in CATALOG])
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/tierlake-{name}-{uuid.uuid4().hex}"
+
+
+def _words_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_pos", F.posexplode_outer(LAYERS.text("entities")).alias("ord", "piece"), F.size("words").alias("n_words"), F.get(F.map_values("_extra"), F.lit(0)).alias("url")).select(F.col("doc_pos").alias("doc_id"), F.col("ord").cast("bigint").alias("ord"), "piece", F.when(F.col("n_words") >= 0, F.col("n_words")).cast("bigint").alias("n_words"), "url")
+
+
+def _wired(s: SparkSession, d: str) -> DataFrame:
+    """Documents through their wire form and back."""
+    docs = corpus(s, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return _words_of(ingest.from_json_lines(ingest.to_json_lines(docs, CATALOG), CATALOG))
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Documents through a store and back."""
+    path = _folder(s, "store")
+    files.write_store(corpus(s, d), CATALOG, path, {"pos": planner.create_index(corpus(s, d), LAYERS, "pos")})
+    return _words_of(files.read_store(s, path)[1])
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines, read as a stream into Parquet, and read again; by content, as ids and places aren't written."""
+    path = _folder(s, "stream")
+    ingest.to_json_lines(corpus(s, d).withColumn("doc_id", F.col("doc_id").cast("string")), CATALOG).select("json").write.text(f"{path}/in")
+    jsonl.to_parquet(jsonl.read(s, f"{path}/in", CATALOG), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{path}/out").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.when(F.col("words").isNotNull(), F.size("words")).cast("bigint").alias("n_words"))
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    each = corpus(s, d).select("doc_id", F.posexplode(F.arrays_zip(LAYERS.text("prev").alias("word"), LAYERS.linked_text("prev").alias("linked"))).alias("ord", "x"))
+    return each.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "x.word", "x.linked")
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    """The first annotated document as text, a row a line."""
+    row = corpus(s, d).where("entities is not null").orderBy("doc_pos").head()
+    text = render(str(row["doc_id"]), ingest.document_of(row.asDict(recursive=True), CATALOG)) if row else ""
+    return s.createDataFrame(list(enumerate(text.split("\n"))), "n bigint, line string")
+
+
+def _value_counts(name: str) -> Run:
+    return lambda s, d: frequency.val_freq(corpus(s, d), LAYERS, name).select(shown(F.col("value")).alias("value"), "freq")
+
+
+def _postings(s: SparkSession, d: str) -> DataFrame:
+    return planner.create_index(corpus(s, d), LAYERS, "pos").select(shown(F.col("value")).alias("value"), "doc_id")
+
+
+SEARCHES: dict[str, Query] = {
+    "q_text": Text("words", "the"),
+    "q_text_not": TextNot("words", "the"),
+    "q_text_characters": Not(TextNot("text", "")),
+    "q_value": Value_("pos", "NUM"),
+    "q_value_not": ValueNot("entities", "ORG"),
+    "q_lt": LessThan("lemma", "b"),
+    "q_lte": LessThanEqual("entities", "LOC"),
+    "q_gt": GreaterThan("lemma", "z"),
+    "q_gte": GreaterThanEqual("prev", 300),
+    "q_in": In("pos", ("NUM", "num")),
+    "q_nin": NotIn("entities", ("ORG", "PER")),
+    "q_regex": Regex("lemma", "^w.*r$"),
+    "q_text_regex": TextRegex("entities", "^[KL]"),
+    "q_and": And((Value_("pos", "NUM"), Text("words", "the"))),
+    "q_or": Or((Value_("entities", "PER"), Value_("lemma", "river"))),
+    "q_not": Not(Value_("pos", "NUM")),
+    "q_exists": Exists("entities"),
+    "q_exists_extra": Exists("_url"),
+    "q_characters_none": And((ValueNot("text", "x"), Not(Value_("text", "x")))),
+    "q_missing_layer": And((Not(ValueNot("lemma", "x")), Exists("text"))),
+    "q_empty": And((And(()), Not(Or(())), Not(In("pos", ())))),
+}
+
+
+def queries() -> dict[str, Run]:
     return {
+        "scan_docs": lambda s, d: corpus(s, d).select("doc_id", "text"),
+        "doc_by_id": lambda s, d: (lambda docs: docs.join(F.broadcast(docs.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select("doc_id", "text"))(_DOCS(s, d)),
+        "doc_ids_greedy": _ids,
+        "doc_keys": lambda s, d: corpus(s, d).select("doc_id", F.explode(LAYERS.present(list(CATALOG))).alias("layer")),
+        "layer_text_words": _pieces("words"),
+        "layer_text_seq": _pieces("pos"),
+        "layer_text_phrase": _pieces("entities"),
+        "layer_text_element": _pieces("prev"),
+        "layer_text_div": _pieces("lines"),
+        "layer_text_document": _pieces("lang"),
+        "indexes_self": _positions("words", "words"),
+        "indexes_direct": _positions("entities", "words"),
+        "indexes_seq": _positions("pos", "words"),
+        "indexes_transitive_span": _positions("entities", "text"),
+        "indexes_element": _positions("prev", "text"),
+        "indexes_div": _positions("lines", "text"),
+        "indexes_div_tail": _positions("tens", "text"),
+        "indexes_characters": lambda s, d: corpus(s, d).select("doc_id", LAYERS.indexes("text", "text").alias("x")).where("x is not null").select("doc_id", F.size("x").cast("bigint").alias("n"), F.try_element_at("x", F.lit(-1))["e"].cast("bigint").alias("last")),
+        "indexes_data": _indexes_data,
+        "layer_len": _layer_len,
+        **{name: _search(q) for name, q in SEARCHES.items()},
+        "text_freq": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", strict=False),
+        "text_freq_in": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", ["the", "a", "der", "le"], strict=False),
+        "text_freq_where": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", lambda c: c.contains("i"), strict=False),
+        "val_freq": _value_counts("pos"),
+        "val_freq_link": _value_counts("prev"),
+        "index_postings": _postings,
+        "index_search": _index_search,
+        "estimate_count": _estimates,
+        "add_docs": _added,
+        "update_doc": _updated,
+        "remove_doc": _removed,
+        "tokenize": _tokens,
+        "corpus_info": _info,
+        "json_roundtrip": _wired,
+        "store_roundtrip": _stored,
+        "stream_roundtrip": _streamed,
+        "link_resolve": _linked,
+        "show_doc": _shown,
         "p2_found": lambda s, d: shred.links(_RECORDS(s, d)),
         "p2_nodes": lambda s, d: shred.shred(_RECORDS(s, d)),
         "p2_notes": lambda s, d: shred.entities(shred.shred(_RECORDS(s, d)), "note_id", ["body", "by"]).drop("up"),
@@ -27,4 +246,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tierlake.oracle import SQL
+
+    return dict(SQL)
