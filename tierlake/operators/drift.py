@@ -93,20 +93,19 @@ def promote(layers: DataFrame, approved: dict[str, list[str]] = APPROVED) -> Dat
 
     The first spelling with a value wins; what is replayed leaves ``rescued``, what can't be cast stays.
     """
-    out = layers
-    castable = {a: "'^\\\"|^null$|^\\\\[(\\\\s*\\\"|\\\\s*\\\\])'" if a == "data" else "'^\\\"|^null$'" for a in approved}
-    spelt = []
+    out, spelt = layers, []
     for attr, names in approved.items():
-        listed = ", ".join(f"'{n}'" for n in names)
-        fits = f"({_plain('e.key')} in ({listed}) and (e.value rlike {castable[attr]} or e.key = '{attr}'))"
-        found = F.expr(f"filter(map_entries(rescued), e -> {fits})")
-        out = out.withColumn("_found", found)
-        value = "element_at(filter(transform(_found, e -> if(e.value rlike '^\\\"', from_json(concat('[', e.value, ']'), 'array<string>')[0], if(e.value rlike '^\\\\[', nullif(e.value, '[]'), null))), v -> v is not null and v <> ''), 1)"
-        out = out.withColumn("_value", F.expr(f"if(size(_found) > 0, {value.replace('element_at', 'try_element_at')}, null)"))
-        key = F.expr(f"if({attr} is not null, '{attr}', if(size(_found) > 0, _found[0].key, null))")
-        out = out.withColumn(f"_spelt_{attr}", key).withColumn(attr, F.coalesce(attr, "_value")).withColumn("rescued", F.expr(f"map_filter(rescued, (k, v) -> not ({fits.replace('e.key', 'k').replace('e.value', 'v')}))"))
+        named = lambda k: f"{_plain(k)} in ({', '.join(repr(n) for n in names)})"  # noqa: B023, E731
+        lists = lambda v: f" or startswith({v}, '[\"') or {v} = '[]'" if attr == "data" else ""  # noqa: B023, E731
+        castable = lambda v: f"(startswith({v}, '\"') or {v} = 'null'{lists(v)})"  # noqa: B023, E731
+        # a rescued text is unquoted by reading it as the only item of an array
+        text = "if(startswith(e.value, '\"'), from_json(concat('[', e.value, ']'), 'array<string>')[0], if(e.value = 'null', null, nullif(e.value, '[]')))"
+        own = F.expr(f"filter(map_entries(rescued), e -> {named('e.key')})")
+        values = F.expr(f"filter(transform(filter(_own, e -> {castable('e.value')}), e -> {text}), v -> v is not null and v <> '')")
+        out = out.withColumn("_own", own).withColumn(f"_spelt_{attr}", F.expr(f"if({attr} is not null, '{attr}', get(_own, 0).key)"))
+        out = out.withColumn(attr, F.coalesce(attr, F.get(values, F.lit(0)))).withColumn("rescued", F.expr(f"map_filter(rescued, (k, v) -> not ({named('k')} and {castable('v')}))"))
         spelt.append(F.col(f"_spelt_{attr}").alias(attr))
-    return out.withColumn("spelt", F.struct(*spelt)).drop("_found", "_value", *[f"_spelt_{a}" for a in approved])
+    return out.withColumn("spelt", F.struct(*spelt)).drop("_own", *[f"_spelt_{a}" for a in approved])
 
 
 def consistent(files: DataFrame) -> DataFrame:

@@ -38,4 +38,5 @@ def remove(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def reorder(docs: DataFrame, order: DataFrame) -> DataFrame:
     """``docs`` at the places that ``order`` (doc_id, pos) gives; documents that it doesn't name are gone from the order."""
-    return docs.drop("doc_pos").join(order.select("doc_id", F.col("pos").cast("bigint").alias("doc_pos")), "doc_id")
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c != "doc_pos"])
+    return kept.join(order.select("doc_id", F.col("pos").cast("bigint").alias("doc_pos")), "doc_id")

@@ -66,6 +66,12 @@ class _OnText(Query):
     layer: str
     text: str
 
+    def __post_init__(self):
+        object.__setattr__(self, "text", self._checked(self.text))
+
+    def _checked(self, text: str) -> str:
+        return text
+
     def _pieces(self, doc: Document) -> list[str]:
         try:
             return doc.text(self.layer)
@@ -108,8 +114,8 @@ class TextNot(_OnText):
 class TextRegex(_OnText):
     """The pattern is found in some piece of the layer's text."""
 
-    def __post_init__(self):
-        object.__setattr__(self, "text", checked(self.text))
+    def _checked(self, text):
+        return checked(text)
 
     def _some(self, layers):
         return F.exists(layers.text(self.layer), lambda t: t.rlike(self.text))
@@ -121,8 +127,8 @@ class TextRegex(_OnText):
 class Regex(_OnText):
     """The pattern is found in some value of the layer that is text."""
 
-    def __post_init__(self):
-        object.__setattr__(self, "text", checked(self.text))
+    def _checked(self, text):
+        return checked(text)
 
     def _some(self, layers):
         return F.exists(layers.data(self.layer), lambda d: (d["r"] == 1) & d["t"].rlike(self.text))

@@ -89,7 +89,8 @@ def _from_object(spark: SparkSession, value: dict[str, Any], header_only: bool,
     order = None if header_only else value.get("_order")
     if order is not None:
         places = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "doc_id string, pos bigint")
-        docs = docs.drop("doc_pos").join(F.broadcast(places), "doc_id").withColumnRenamed("pos", "doc_pos")  # the order is in the file just read on the driver
+        # the order is in the file that the driver has just read
+        docs = docs.select("doc_id", *[f"`{n}`" for n in catalog], "_extra").join(F.broadcast(places.withColumnRenamed("pos", "doc_pos")), "doc_id")
     return catalog, docs.select("doc_id", "doc_pos", *[f"`{n}`" for n in catalog], "_extra")
 
 
