@@ -111,7 +111,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
 
 def pack_block(ids: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers of one block, in an order that only depends on the items."""
-    order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
+    order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k] is None, ids[k] or 0))
     bins = best_fit([sizes[k] for k in order], capacity)
     return [[order[k] for k in b] for b in local_search(bins, [sizes[k] for k in order], capacity)]
 

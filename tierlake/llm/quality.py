@@ -24,23 +24,26 @@ ENDS = ".!?…;:。！？؟।»”\"')"
 
 #: A line is of sentences if it has at least WORDS words, COMMON_LEAST of them common, at most SYMBOLS of its characters are symbols and its words are of natural length; a shorter one if it ends like a sentence.
 WORDS, COMMON_LEAST, COMMON_SHORT, SYMBOLS, WORD_LENGTH = 5, 0.2, 0.25, 0.15, 15
-#: A text is running text if this share of its characters stands in such lines, unless one uncommon word (of MANY_WORDS or more) or lines that stood before make up more than the share after it.
-RUNNING, TOP_WORD, SAME_LINES = 0.5, 0.15, 0.6
-MANY_WORDS = 40
+#: A text is running text if this share of its characters stands in such lines, unless lines that stood before make up more than the share after it.
+RUNNING, SAME_LINES = 0.5, 0.6
+#: Share of the words of a text that one uncommon word may make up, from so many words on.
+TOP_WORD = ((40, 0.15), (15, 0.3))
 #: From this code point on scripts have no list of common words; their lines count by their symbols and digits alone.
 UNLISTED = 0x530
 
 
 @lru_cache(None)
-def common_hashes() -> np.ndarray:
-    """Hashes of the folded common words, sorted."""
+def common_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the folded common words, sorted; the languages of each, a bit for each)."""
     table, _ = folds()
-    out = set()
-    for words in COMMON.values():
+    out: dict[int, int] = {}
+    for bit, words in enumerate(COMMON.values()):
         for word in words.split():
             f = table[[ord(ch) for ch in composed(word)]]
-            out.add(int(vec.run_hashes(f[f != DROP], np.zeros(1, np.int64))[0]))
-    return np.array(sorted(out), np.uint64)
+            h = int(vec.run_hashes(f[f != DROP], np.zeros(1, np.int64))[0])
+            out[h] = out.get(h, 0) | 1 << bit
+    hashes = sorted(out)
+    return np.array(hashes, np.uint64), np.array([out[h] for h in hashes], np.uint16)
 
 
 @dataclass
@@ -109,13 +112,18 @@ def count(texts: list[str]) -> Counted:
     at = np.searchsorted(packed, starts)
     word_hash = vec.run_hashes(fold[packed], at)
     word_length = np.diff(np.append(at, len(packed)))
-    known = common_hashes()
-    word_common = known[np.minimum(np.searchsorted(known, word_hash), len(known) - 1)] == word_hash
-    total_words = np.append(0, np.cumsum(word_common))
+    known, languages = common_hashes()
+    place = np.minimum(np.searchsorted(known, word_hash), len(known) - 1)
+    word_languages = np.where(known[place] == word_hash, languages[place], np.uint16(0))
+    word_common = word_languages > 0
     w_lo, w_hi = np.searchsorted(starts, lo), np.searchsorted(starts, hi)
     token = seen & ~np.append(False, seen[:-1])
     symbols, digits = _sums(kind == OTHER, lo, hi), _sums(kind == NUMBER, lo, hi)
-    words, common, tokens = w_hi - w_lo, total_words[w_hi] - total_words[w_lo], _sums(token, lo, hi)
+    words, tokens = w_hi - w_lo, _sums(token, lo, hi)
+    # common words of one language, that which has most: lists of names meet some short word of another one
+    common = np.zeros(len(lo), np.int64)
+    for bit in range(len(COMMON)):
+        np.maximum(common, _sums((word_languages >> bit) & 1, w_lo, w_hi), out=common)
     last_seen = np.flatnonzero(seen)
     end = last_seen[np.searchsorted(last_seen, hi) - 1] if len(last_seen) else np.zeros(0, np.int64)
     stop = np.isin(cp[end], np.array([ord(x) for x in ENDS], np.uint32))
@@ -184,8 +192,9 @@ def verdicts(c: Counted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     prose = _by_text(c, c.line_chars * c.line_prose) / np.maximum(chars, 1)
     word = top_word(c)
     again = repeated_share(c.line_text, line_hashes(c), c.line_chars, c.n)
-    long = np.bincount(c.word_text, minlength=c.n) >= MANY_WORDS
-    return (prose >= RUNNING) & ~(long & (word > TOP_WORD)) & ~(again > SAME_LINES), prose, word, again
+    words = np.bincount(c.word_text, minlength=c.n)
+    heap = np.any([(words >= n) & (word > share) for n, share in TOP_WORD], axis=0)
+    return (prose >= RUNNING) & ~heap & ~(again > SAME_LINES), prose, word, again
 
 
 STATS = "doc_id bigint, n_lines int, n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, stop_line_share double, common_word_share double, prose_share double, dup_line_share double, dup_paragraph_share double, top_word_share double, top_2gram_share double, top_3gram_share double, running boolean"

@@ -92,6 +92,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_site_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the frequent lines of its source taken out of each text; null texts and other columns stay."""
     lines, _ = frequent(docs.select("source", "text"))
-    site = by_site(cut(lines))
-    kept = f"array_join(filter({_LINES}, x -> not array_contains(site, xxhash64({_TRIM}))), '\\n')"
-    return docs.join(site, "source", "left").withColumn(text, F.expr(f"if(site is null or text is null, text, {kept})")).drop("site")
+    site = by_site(cut(lines)).select(F.col("source").alias("_of"), F.col("site").alias("_site"))
+    kept = f"array_join(filter({_LINES}, x -> not array_contains(_site, xxhash64({_TRIM}))), '\\n')"
+    return docs.join(site, F.col("source") == F.col("_of"), "left").withColumn(text, F.expr(f"if(_site is null or text is null, text, {kept})")).drop("_of", "_site")
