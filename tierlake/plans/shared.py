@@ -63,3 +63,21 @@ def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
         out.close()
     spark.sparkContext.addFile(path.toString())
     return unique
+
+
+#: Bits that ``likely`` keeps: 128 rows of 4 KB, whatever the number of keys.
+KEY_BITS = 1 << 22
+
+
+def likely(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``keys`` (a column of that name), none of those that are lost.
+
+    The keys' hashes set bits in a map of fixed size (512 KB), which is broadcast, so that wide rows are dropped before
+    they are shuffled to a join. With very many keys it lets all pass; the join that follows decides.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(KEY_BITS))
+    marked = keys.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 32768).alias("_part")).agg(F.bitmap_construct_agg(F.col("_p") % 32768).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = df.withColumn("_part", F.floor(place / 32768)).withColumn("_at", place % 32768)
+    met = placed.join(F.broadcast(marked), "_part").where(F.expr("shiftleft(1, cast(_at % 8 as int))").bitwiseAND(byte) != 0)
+    return met.select(*[F.col(f"`{c}`") for c in df.columns])
