@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tierlake.llm import vec
 from tierlake.llm.anchors import K, SPAN, sampled, window_hashes
 from tierlake.llm.unify import copies, spread
-from tierlake.plans.shared import cut
+from tierlake.plans.shared import cut, likely
 
 #: Classes of a path from which on its places are refined.
 HOT = 200
@@ -176,9 +176,10 @@ def verified(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
     ``every``: all such runs of each pair; a run of which only one side is told has -1 for the other. Else one a pair.
     """
     pairs, members = meetings(docs)
-    heads = cut(members.groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    pairs, heads = cut(pairs), cut(members.groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     both = pairs.select(F.col("class_a").alias("class")).union(pairs.select(F.col("class_b").alias("class"))).distinct()
-    texts = docs.select("doc_id", "text").join(heads.join(both, "class", "left_semi"), "doc_id").dropDuplicates(["class"]).select("class", "text")
+    met = cut(heads.join(both, "class", "left_semi"))
+    texts = likely(docs.select("doc_id", "text"), met, "doc_id").join(met, "doc_id").select("class", "text")
     a = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
 
@@ -191,7 +192,7 @@ def verified(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["class_a", "class_b", "lo_a", "lo_b", "n"])
 
     joined = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "at", "text_a", "text_b")
-    return joined.mapInArrow(run, "class_a bigint, class_b bigint, lo_a bigint, lo_b bigint, n bigint"), members
+    return joined.mapInArrow(run, "class_a bigint, class_b bigint, lo_a bigint, lo_b bigint, n bigint").distinct(), members  # rows of a document that stand twice meet twice
 
 
 def span_pairs(docs: DataFrame) -> DataFrame:
