@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tierlake.meta import Catalog
 from tierlake.operators.layers import column
+from tierlake.plans.shared import cut, sized
 
 SHORTEST, LONGEST = 4, 44
 
@@ -45,20 +46,26 @@ def shortest_free(full: str, taken: set[str]) -> str:
 def assign(docs: DataFrame, catalog: Catalog, existing: DataFrame | None = None) -> DataFrame:
     """``docs`` with doc_id as if each were added in the order of doc_pos, to a corpus that has the ids ``existing`` (doc_id).
 
-    Ids only meet within their first four characters, so each such group is settled by itself. Where a group has one code
-    alone, lengths follow from the rank of a copy (ranked no further than lengths go); the few mixed groups are folded.
+    Ids only meet within their first four characters, so each such group is settled by itself, on narrow rows that are
+    cut once: a document alone in its group has these four; where a group has one code alone, lengths follow from the rank
+    of a copy (ranked no further than lengths go, the rest have the whole code); the few mixed groups are folded. Only
+    documents with more than four characters are joined back, so the documents themselves are shuffled for many of them alone.
     """
     coded = docs.withColumn("_code", code(catalog))
-    keys = coded.select("doc_pos", "_code", F.left("_code", F.lit(SHORTEST)).alias("_head"))
+    keys = cut(coded.select("doc_pos", "_code", F.left("_code", F.lit(SHORTEST)).alias("_head")))
     old = None if existing is None else existing.select(F.col("doc_id").alias("_code"), F.left("doc_id", F.lit(SHORTEST)).alias("_head"))
-    spread = keys.groupBy("_head").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"))
+    spread = keys.groupBy("_head").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.count("*").alias("n"))
+    fresh = F.lit(True)
     if old is not None:
         spread = spread.join(old.select("_head").distinct().withColumn("old", F.lit(True)), "_head", "left")
-    plain = spread.where("lo = hi" + ("" if old is None else " and old is null")).select("_head")
-    mixed = spread.join(plain, "_head", "left_anti").select("_head")
+        fresh = F.col("old").isNull()
+    plain = spread.where((F.col("lo") == F.col("hi")) & fresh & (F.col("n") > 1)).select("_head")
+    mixed = spread.where((F.col("lo") != F.col("hi")) | ~fresh).select("_head")
     rank = F.row_number().over(Window.partitionBy("_head").orderBy("doc_pos"))
-    ranked = keys.join(plain, "_head", "left_semi").withColumn("_rank", rank).where(F.col("_rank") <= LONGEST - SHORTEST)
+    copies = keys.join(plain, "_head", "left_semi")
+    ranked = copies.withColumn("_rank", rank).where(F.col("_rank") <= LONGEST - SHORTEST)
     simple = ranked.select("doc_pos", F.expr(f"left(_code, {SHORTEST - 1} + _rank)").alias("_id"))
+    whole = copies.join(ranked.select("doc_pos"), "doc_pos", "left_anti").select("doc_pos", F.col("_code").alias("_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         taken = set(group.loc[group["doc_pos"].isna(), "_code"])
@@ -73,5 +80,6 @@ def assign(docs: DataFrame, catalog: Catalog, existing: DataFrame | None = None)
     if old is not None:
         rows = rows.union(old.select("_head", F.lit(None).cast("double"), "_code"))
     folded = rows.join(mixed, "_head", "left_semi").groupBy("_head").applyInPandas(fold, "doc_pos bigint, _id string")
-    settled = coded.drop("doc_id").join(simple.union(folded), "doc_pos", "left")
-    return settled.withColumn("doc_id", F.coalesce("_id", "_code")).drop("_id", "_code")
+    longer, _ = sized(simple.union(whole).union(folded))
+    settled = coded.drop("doc_id").join(longer, "doc_pos", "left")
+    return settled.withColumn("doc_id", F.coalesce("_id", F.left("_code", F.lit(SHORTEST)))).drop("_id", "_code")
