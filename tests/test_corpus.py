@@ -141,7 +141,7 @@ def test_texts_survive_yaml(spark):
 
 def test_files_of_every_format(spark, basic, tmp_path):
     pytest.importorskip("yaml")
-    assert [files.guess_format(x) for x in ("a.json", "a.jsonl.gz", "b.yml", "x", "a.tcf", "a.cuac", str(tmp_path))] == ["json", "jsonl", "yaml", "yaml", "cuac", "cuac", "store"]
+    assert [files.guess_format(x) for x in ("a.json", "a.jsonl.gz", "b.yml", "x", "a.tcf", "a.cuac", str(tmp_path))] == ["json", "jsonl", "yaml", "yaml", "binary", "binary", "store"]
     basic.create_index("pos")
     for name in ("c.json", "c.yaml", "c.cuac", "store"):
         basic.write(str(tmp_path / name))

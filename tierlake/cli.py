@@ -13,7 +13,7 @@ from tierlake.corpus import Corpus
 from tierlake.meta import Catalog
 from tierlake.sources import files
 
-FORMATS = ["guess", "json", "jsonl", "yaml", "cuac", "store"]
+FORMATS = ["guess", "json", "jsonl", "yaml", "binary", "store"]
 
 
 def _catalog(spark: SparkSession, path: str | None) -> Catalog | None:

@@ -68,7 +68,7 @@ class Corpus:
             files.write_store(self.docs, self.catalog, path, self.indexes)
         elif kind == "jsonl":
             files.write_jsonl(self.docs, self.catalog, path)
-        elif kind == "cuac":
+        elif kind == "binary":
             from tierlake.sources import binary
 
             binary.write_file(self.docs, self.catalog, path)

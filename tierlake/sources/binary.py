@@ -20,8 +20,8 @@ from tierlake.errors import FormatError
 from tierlake.meta import Catalog, LayerType
 from tierlake.sources import cbor, ingest
 
-# The magic word, version, byte of a missing layer, and most strings that await their second sight.
-MAGIC, VERSION, MISSING, SEEN_ONCE = b"TEANGA", 1, 0xFF, 1_000_000
+# The six bytes that a file starts with, version, byte of a missing layer, and most strings that await their second sight.
+MAGIC, VERSION, MISSING, SEEN_ONCE = bytes([84, 69, 65, 78, 71, 65]), 1, 0xFF, 1_000_000
 # The first tag of each shape, by how many numbers a unit has and whether it has a text.
 TAGS = {(1, False): 1, (2, False): 3, (3, False): 7, (0, True): 11, (1, True): 12, (2, True): 14, (3, True): 18}
 

@@ -24,7 +24,7 @@ from tierlake.operators import ids
 from tierlake.sources import ingest
 
 # The format of each suffix; others are YAML.
-SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".cuac": "cuac", ".tcf": "cuac"}
+SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".cuac": "binary", ".tcf": "binary"}
 
 
 def guess_format(path: str) -> str:
@@ -108,7 +108,7 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, header_on
         if catalog is None:
             raise FormatError("JSON lines hold no descriptions of layers; give a catalog")
         return catalog, read_jsonl(spark, path, catalog)
-    if kind == "cuac":
+    if kind == "binary":
         from tierlake.sources import binary
 
         return binary.read_file(spark, path)
