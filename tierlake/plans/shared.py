@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from importlib.util import find_spec
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +85,19 @@ def likely(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     placed = df.withColumn("_part", F.floor(place / 32768)).withColumn("_at", place % 32768)
     met = placed.join(F.broadcast(marked), "_part").where(F.expr("shiftleft(1, cast(_at % 8 as int))").bitwiseAND(byte) != 0)
     return met.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers if they can't import it by themselves; asked once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tierlake_shipped", False):
+        return
+    if not all(sc.parallelize(["tierlake"], 1).map(find_spec).map(bool).collect()):
+        root = Path(__file__).resolve().parent.parent
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        name = shared_file(spark, "tierlake.zip", out.getvalue())
+        sc.addPyFile(f"{shared_dir(spark)}/{name}")
+    sc._tierlake_shipped = True
