@@ -58,6 +58,19 @@ def test_near_pairs_against_brute_force(spark, threshold, size):
     assert neardup.near_pairs(table(spark, texts).where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("threshold", "size"), [(0.5, 3), (0.8, 5)])
+def test_near_copies_that_are_a_third_of_all(spark, threshold, size):
+    rng = random.Random(14)
+    make = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    lines = [make(12) for _ in range(30)]
+    family = ["\n".join(lines)] + ["\n".join([*lines[:k], make(12), *lines[k + 1 :]]) for k in range(24) for _ in range(3)]
+    notice = make(30)
+    texts = family + [f"{make(8)}\n{notice}" for _ in range(60)] + [make(40) for _ in range(90)]
+    want = near(texts, threshold, size)
+    got = {tuple(r) for r in neardup.near_pairs(table(spark, texts), threshold, size).collect()}
+    assert not got - want and len(got) >= 0.999 * len(want) and len(want) > len(family)
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(3)
     most = neardup.CHUNKS * (neardup.ERRORS + 1) - 1

@@ -6,8 +6,9 @@ symbols. By the pigeonhole principle two signatures with at most CHUNKS x (ERROR
 chunk with at most ERRORS of them; each chunk is therefore entered under every choice of WIDTH - ERRORS symbols, and
 pairs that meet anywhere are checked exactly on their runs of words.
 
-Skew: texts of one consistent form are joined as one class first. Lines that stand in a noticeable share of all texts
-(a site's notices) are left out of signatures, though not of the exact check; else they would draw whole sites together.
+Skew: texts of one consistent form are joined as one class first. Signatures are of whole texts, lines that many texts
+share included, so that families of edited copies meet however large they are. Texts that have little but a site's
+notices in common meet by chance too; the signatures of those that meet are compared before their texts are.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.llm import unify, vec
-from tierlake.llm.shingles import common_lines, folded_lines, triple_sets, triples, without_common
+from tierlake.llm.shingles import folded, triple_sets, triples
 from tierlake.plans.shared import cut, likely
 
 CHUNKS, WIDTH, ERRORS = 20, 4, 1
-#: A line counts as common from this share of all texts on, and at least so many.
-COMMON_SHARE, COMMON_LEAST = 0.005, 50
+#: Texts that meet are compared from so many equal symbols on; at similarity 0.5 fewer of 80 have a probability below 1e-5.
+EQUAL = 20
 #: Pairs that a task holds at once.
 BLOCK = 1 << 20
 
@@ -63,12 +64,10 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return vec.mix(out.reshape(-1)).reshape(len(signature), _KEYS)
 
 
-def entries(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """(key, class): the entries in the index of each distinct consistent form (once a task). A text of common lines alone is entered with them."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+def signed(docs: DataFrame, size: int) -> DataFrame:
+    """(class, signature): the signature of each distinct consistent form that has runs of ``size`` words, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         done: set[int] = set()
         for _, texts in vec.rows(batches):
             names, mine = [], []
@@ -79,19 +78,49 @@ def entries(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                     mine.append(t)
             if not mine:
                 continue
-            fold, ends, breaks = folded_lines(mine)
-            h, text = triples(without_common(fold, breaks, bits), ends, size)
-            bare = np.setdiff1d(np.arange(len(mine)), text)
-            if len(bare):
-                h_all, text_all = triples(fold, ends, size)
-                add = np.isin(text_all, bare)
-                h, text = np.append(h, h_all[add]), np.append(text, text_all[add])
-                order = np.argsort(text, kind="stable")
-                h, text = h[order], text[order]
-            have, signature = signatures(h, text, len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(vec.signed(keys_of(signature).reshape(-1))), pa.array(np.repeat(np.array(names, np.int64)[have], _KEYS))], ["key", "class"])
+            have, signature = signatures(*triples(*folded(mine), size), len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[have]), pa.array([x.tobytes() for x in signature], pa.binary())], ["class", "signature"])
 
-    return docs.select("text").where("text <> ''").mapInArrow(run, "key bigint, class bigint")
+    return docs.select("text").where("text <> ''").mapInArrow(run, "class bigint, signature binary").dropDuplicates(["class"])
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
+def entries(marks: DataFrame) -> DataFrame:
+    """(key, class): the entries in the index of each class of ``signed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                keys = keys_of(_unpacked(part.column(1), np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.array(vec.signed(keys.reshape(-1))), pa.array(np.repeat(np.asarray(part.column(0)), _KEYS))], ["key", "class"])
+
+    return marks.select("class", "signature").mapInArrow(run, "key bigint, class bigint")
+
+
+def alike(met: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``met`` whose signatures have EQUAL equal symbols or more, told by 4 bits of each symbol (other symbols look equal now and then, none that are equal differ)."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = (_unpacked(batch.column(1), np.uint16) & np.uint16(15)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y.tobytes() for y in (x[:, ::2] << 4) | x[:, 1::2]], pa.binary())], ["class", "short"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _unpacked(batch.column(2), np.uint8) ^ _unpacked(batch.column(3), np.uint8)
+                equal = (x >> 4 == 0).sum(1) + (x & 15 == 0).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(equal >= EQUAL))
+
+    brief = marks.where("class is not null").mapInArrow(short, "class bigint, short binary")
+    for side in "ab":
+        met = met.join(brief.select(F.col("class").alias(side), F.col("short").alias(f"short_{side}")), side)
+    return met.select("a", "b", "short_a", "short_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def meeting(index: DataFrame) -> DataFrame:
@@ -168,8 +197,8 @@ def links(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> tuple[DataF
     docs = docs.select("doc_id", "text")
     members = cut(unify.hashed(docs).select("doc_id", F.col("form_a").alias("class")).distinct())
     classes = members.groupBy("class").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("copies"))
-    common, _ = common_lines(docs, COMMON_SHARE, COMMON_LEAST)
-    met = meeting(entries(docs, common, size))
+    marks = cut(signed(docs, size))
+    met = alike(meeting(entries(marks)), marks)
     for side in "ab":
         met = met.join(classes.select(F.col("class").alias(side), F.col("head").alias(f"head_{side}"), F.col("copies").alias(f"n_{side}")), side).withColumnRenamed(side, f"class_{side}")
     met = cut(met)
