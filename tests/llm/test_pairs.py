@@ -71,6 +71,18 @@ def test_near_copies_that_are_a_third_of_all(spark, threshold, size):
     assert not got - want and len(got) >= 0.999 * len(want) and len(want) > len(family)
 
 
+def test_links_of_different_texts_in_large_classes(spark):
+    words = " ".join(WORDS[:30])
+    looks = [words.replace("o", "о"), words.replace("a", "а"), words.replace("e", "е")]
+    texts = [words] * 100 + looks + [words + " more"] * 2 + [looks[0] + " more"]
+    got = {tuple(r) for r in neardup.near_pairs(table(spark, texts)).collect()}
+    want = near(texts, 0.5, 3)
+    head = {t: texts.index(t) for t in texts}
+    listed = {(a, b) for a, b in want if texts[a] == texts[b] == words and a == 0 or texts[a] != words or texts[b] != words and (texts.count(texts[b]) == 1 or a == 0 or b == head[texts[b]])}
+    assert got == listed and {(100, 101), (101, 102), (100, 103), (100, 105), (102, 104)} <= got
+    assert {tuple(r) for r in unify.lookalike_pairs(table(spark, texts)).collect()} <= got
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(3)
     most = neardup.CHUNKS * (neardup.ERRORS + 1) - 1

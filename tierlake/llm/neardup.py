@@ -193,9 +193,9 @@ def similar(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> D
 
 
 def links(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(links between classes of one form: class_a, class_b, n_a, n_b, head_a, head_b, similarity; members: class, doc_id)."""
+    """(links between classes of one form: class_a, class_b, n_a, n_b, head_a, head_b, similarity; members: class, exact, doc_id, exact being a hash of the text itself)."""
     docs = docs.select("doc_id", "text")
-    members = cut(unify.hashed(docs).select("doc_id", F.col("form_a").alias("class")).distinct())
+    members = cut(unify.hashed(docs).select("doc_id", F.col("form_a").alias("class"), "exact").distinct())
     classes = members.groupBy("class").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("copies"))
     marks = cut(signed(docs, size))
     met = alike(meeting(entries(marks)), marks)
@@ -210,19 +210,28 @@ def near_pairs(docs: DataFrame, threshold: float = 0.5, size: int = 3) -> DataFr
     """(doc_id_a, doc_id_b), a < b: documents of similarity ``threshold`` or more, and those of one consistent form.
 
     Similarity: distinct runs of ``size`` words that both hold, over those that either holds. Blank texts take no part;
-    texts without such a run only pair within their form. Large classes of copies are listed as ``unify.spread`` says: within a
-    class, each member with its head and, up to FULL_PAIRS pairs, all with all.
+    texts without such a run only pair within their form. Large classes of exact copies are listed as ``unify.spread`` says: within
+    a class, each member with its head and, up to FULL_PAIRS pairs, all with all. Different texts, of one form or of two, are
+    classes of their own there, so none of their links is left out.
     """
     found, members = links(docs, threshold, size)
-    found = cut(found)
-    sizes = cut(members.groupBy("class").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
-    return unify.spread(found, members).union(unify.copies(members, sizes))
+    kinds = cut(members.groupBy("class", "exact").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("n")))
+    kind = F.xxhash64("class", "exact")
+    side = lambda x: kinds.select(F.col("class").alias(f"form_{x}"), kind.alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"), F.col("exact").alias(f"exact_{x}"))
+    columns = ["class_a", "class_b", "n_a", "n_b", "head_a", "head_b"]
+    apart = found.select(F.col("class_a").alias("form_a"), F.col("class_b").alias("form_b")).join(side("a"), "form_a").join(side("b"), "form_b")
+    several = kinds.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("form_a"))
+    within = side("a").join(several, "form_a").join(side("b").withColumnRenamed("form_b", "form_a"), "form_a").where("exact_a < exact_b")
+    named = members.select(kind.alias("class"), "doc_id")
+    pairs = unify.spread(cut(apart.select(columns).union(within.select(columns))), named)
+    return pairs.union(unify.copies(named, kinds.select(kind.alias("class"), "head", "n"))).distinct()
 
 
 def groups(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, group_id, n_links): each non-blank document with the smallest doc_id of the chain of links it is in, and its number of linked texts."""
     found, members = links(docs, threshold, size)
     edges = cut(found.select("head_a", "head_b"))
+    members = members.select("class", "doc_id").distinct()
     label = components(edges.toDF("a", "b"))
     degree = edges.select(F.explode(F.array("head_a", "head_b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
     of = members.join(members.groupBy("class").agg(F.min("doc_id").alias("head")), "class")
