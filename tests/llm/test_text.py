@@ -201,3 +201,18 @@ def test_held_out_accuracy():
     c = quality.count(texts[160:])
     use, score = language.score_lines(c, matrix, 5)
     assert (score.argmax(1) == label[160:][c.line_text[use]]).all() and (language.confidence(score) > 0.5).all()
+
+
+def test_copies_that_fill_their_source_are_judged_whole(labelled):
+    docs, codes, _ = labelled
+    spark = docs.sparkSession
+    rng = random.Random(6)
+    junk = "\n".join(f"{k};{k * 7};AX-{k};;|" for k in range(12))
+    prose = "\n".join(made(rng, "de", 20) for _ in range(3))
+    other = [(f"{made(rng, 'en', 25)}\nHome | Contact | Terms", "en") for _ in range(6)]
+    rows = [(1000 + k, t, lang, "small", "", "", "", "") for k, (t, lang) in enumerate([(junk, None)] * 5 + [(prose, None)] * 5 + other)]
+    some = docs.unionByName(spark.createDataFrame(rows, COLUMNS))
+    assert {r[0] for r in quality.not_running(some).collect()} >= set(range(1000, 1005))
+    assert {tuple(r) for r in language.relabelled(some, codes).where("doc_id >= 1000").collect()} == {(k, "de") for k in range(1005, 1010)}
+    stats = {r["doc_id"]: r for r in quality.statistics(some).where("doc_id >= 1000").collect()}
+    assert stats[1000]["n_lines"] == 12 and stats[1000]["running"] is False and stats[1005]["running"] and stats[1010]["n_lines"] == 2

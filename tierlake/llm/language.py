@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tierlake.llm import vec
 from tierlake.llm.quality import Counted, count, verdicts
-from tierlake.llm.sitelines import without_site_lines
+from tierlake.llm.sitelines import own_text
 
 #: n-grams of these lengths, each in so many buckets.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
@@ -138,7 +138,7 @@ SEGMENTS = "doc_id bigint, first_line bigint, last_line bigint, lang string, con
 
 
 def segments(docs: DataFrame, codes: DataFrame, least: int = LINE_WORDS) -> DataFrame:
-    """(doc_id, first_line, last_line, lang, confidence): the segments of each running text, site lines taken out before lines are numbered.
+    """(doc_id, first_line, last_line, lang, confidence): the segments of each running text, site lines taken out before lines are numbered (unless little else is left, see ``own_text``).
 
     A segment is a run of lines whose lines of at least ``least`` words are in one language; shorter lines go with the
     segment they follow. Texts that aren't running text, blank ones and those without such a line have no segment, nor has any text if ``codes`` names no language.
@@ -166,8 +166,7 @@ def segments(docs: DataFrame, codes: DataFrame, least: int = LINE_WORDS) -> Data
             ids = batch.column(0).take(pa.array(text[at]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(number[at].astype(np.int64)), pa.array(number[ends].astype(np.int64)), pa.array([names[k] for k in best[at]], pa.string()), pa.array(mean)], ["doc_id", "first_line", "last_line", "lang", "confidence"])
 
-    clean = without_site_lines(docs.select("doc_id", "source", "text")).select("doc_id", "text")
-    return clean.mapInArrow(run, SEGMENTS)
+    return own_text(docs.select("doc_id", "source", "text")).select("doc_id", "own").mapInArrow(run, SEGMENTS)
 
 
 def documents(docs: DataFrame, codes: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Problem 1: statistics of each document's text, and whether it is running text.
 
 All counts are made for many texts at once over arrays of code points; words are compared in the folded form of
-``chars.folds``, so look-alike letters don't hide the common words. Lines that the source repeats are taken out first.
+``chars.folds``, so look-alike letters don't hide the common words. Statistics are of whole texts; for the verdict lines
+that the source repeats are taken out first, unless little else is left.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from tierlake.llm import vec
 from tierlake.llm.chars import DROP, LETTER, NUMBER, OTHER, SPACE, classes, composed, folds
-from tierlake.llm.sitelines import without_site_lines
+from tierlake.llm.sitelines import own_text
 from tierlake.llm.words import COMMON
 
 # Marks that end a sentence, quotes and brackets that may follow it included.
@@ -203,14 +204,18 @@ STATS = "doc_id bigint, n_lines int, n_words int, mean_word_length double, symbo
 def statistics(docs: DataFrame) -> DataFrame:
     """The columns of STATS for each row of ``docs`` (doc_id, text, source).
 
-    Null, empty and blank texts, and texts of site lines alone, have counts and shares of 0 and ``running`` null. Repeated
-    rows give repeated results; other columns are ignored.
+    All are of the whole text but ``running``, which is the verdict on ``own_text``. Null, empty and blank texts have counts
+    and shares of 0 and ``running`` null. Repeated rows give repeated results; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in vec.rows(batches):
             c = count(texts)
             running, prose, word, again = verdicts(c)
+            own = [x or "" for x in batch.column(1).to_pylist()]
+            apart = [k for k, (x, t) in enumerate(zip(own, texts)) if x != t]
+            if apart:
+                running[apart] = verdicts(count([own[k] for k in apart]))[0]
             lines, chars = np.bincount(c.line_text, minlength=c.n), _by_text(c, c.line_chars)
             words = np.bincount(c.word_text, minlength=c.n)
             h = line_hashes(c)
@@ -228,9 +233,15 @@ def statistics(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in STATS.split(", ")])
 
-    return without_site_lines(docs.select("doc_id", "source", "text")).select("doc_id", "text").mapInArrow(run, STATS)
+    return own_text(docs.select("doc_id", "source", "text")).select("doc_id", "own", "text").mapInArrow(run, STATS)
 
 
 def not_running(docs: DataFrame) -> DataFrame:
-    """(doc_id): documents that aren't running text for the most part; blank texts are never among them."""
-    return statistics(docs).where("not running").select("doc_id")
+    """(doc_id): documents that aren't running text for the most part, as ``statistics`` judges them; blank texts are never among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in vec.rows(batches):
+            c = count(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["doc_id"]).filter(pa.array(~verdicts(c)[0] & (_by_text(c, c.line_chars) > 0)))
+
+    return own_text(docs.select("doc_id", "source", "text")).select("doc_id", "own").mapInArrow(run, "doc_id bigint")

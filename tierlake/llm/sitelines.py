@@ -15,6 +15,8 @@ from tierlake.plans.shared import cut, sized
 
 #: A line or sequence is repeated if it stands in so many documents of its source, and in this share of them.
 LEAST, SHARE = 5, 0.3
+#: A text of which less than this share is left without its source's lines is judged whole.
+LITTLE = 0.25
 #: Longest sequences that are mined.
 LONGEST = 3
 
@@ -95,3 +97,12 @@ def without_site_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     site = by_site(cut(lines)).select(F.col("source").alias("_of"), F.col("site").alias("_site"))
     kept = f"array_join(filter({_LINES}, x -> not array_contains(_site, xxhash64({_TRIM}))), '\\n')"
     return docs.join(site, F.col("source") == F.col("_of"), "left").withColumn(text, F.expr(f"if(_site is null or text is null, text, {kept})")).drop("_of", "_site")
+
+
+def own_text(docs: DataFrame) -> DataFrame:
+    """``docs`` and own: what to judge of each text, that is the text without site lines, or the whole text where less than LITTLE of its characters would be left.
+
+    Copies of one text that make up SHARE of their source have no lines but site lines.
+    """
+    chars = lambda c: F.length(F.translate(c, " \t\r\n", ""))
+    return without_site_lines(docs, "own").withColumn("own", F.when(chars("own") < LITTLE * chars("text"), F.col("text")).otherwise(F.col("own")))
