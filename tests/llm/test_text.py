@@ -6,7 +6,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from tierlake.llm import chars, language, quality, sitelines, unify
+from tierlake.llm import chars, language, quality, queries, sitelines, unify
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, form_a string, site string, label string, line string"
 
@@ -216,3 +216,15 @@ def test_copies_that_fill_their_source_are_judged_whole(labelled):
     assert {tuple(r) for r in language.relabelled(some, codes).where("doc_id >= 1000").collect()} == {(k, "de") for k in range(1005, 1010)}
     stats = {r["doc_id"]: r for r in quality.statistics(some).where("doc_id >= 1000").collect()}
     assert stats[1000]["n_lines"] == 12 and stats[1000]["running"] is False and stats[1005]["running"] and stats[1010]["n_lines"] == 2
+
+
+def test_every_document_has_a_language(labelled, tmp_path):
+    docs, codes, _ = labelled
+    spark = docs.sparkSession
+    more = {1000: (made(random.Random(3), "fr", 6), "fr"), 1001: ("\n".join(f"* {w}" for w in LANGS["de"].split()), "de"), 1002: ("12 | 34", None), 1003: (" \n", None)}
+    docs.unionByName(spark.createDataFrame([(k, t, None, "s", "x", "y", "z", "w") for k, (t, _) in more.items()], COLUMNS)).write.parquet(f"{tmp_path}/documents.parquet")
+    codes.write.parquet(f"{tmp_path}/lang_codes.parquet")
+    rows = queries.queries()["p5_documents"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == [*range(240), 902, 1000, 1001, 1002]
+    got = {r["doc_id"]: r for r in rows}
+    assert all(got[k]["lang"] == more[k][1] for k in (1000, 1001, 1002)) and all(0 <= r["confidence"] <= 1 for r in rows)

@@ -175,6 +175,32 @@ def documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct("n", "confidence", "lang")).alias("x")).select("doc_id", "x.lang", "x.confidence")
 
 
+def every_document(docs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(doc_id, lang, confidence): the language of each non-blank document, running text or not, told by the n-grams of all its lines (``own_text``).
+
+    A text without a letter is in no language: null, with confidence 0. Repeated rows of a document give one.
+    """
+    names, matrix = fit(docs, codes)
+    schema = "doc_id bigint, lang string, confidence double"
+    if not names:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in vec.rows(batches):
+            c = count(texts)
+            have, first = np.unique(c.line_text, return_index=True)
+            lo, hi = c.line_start[first], c.line_end[np.append(first[1:], len(c.line_text))[: len(first)] - 1]
+            bucket, text = features(c.fold, lo, hi)
+            n = np.bincount(text, minlength=len(have))
+            score = line_sums(shared.value, bucket, text, len(have)) / np.maximum(1, n)[:, None]
+            best, trust = score.argmax(1), np.where(n > 0, confidence(score), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(have)), pa.array([names[k] if some else None for k, some in zip(best, n > 0)], pa.string()), pa.array(trust.astype(float))], ["doc_id", "lang", "confidence"])
+
+    each = own_text(docs.select("doc_id", "source", "text")).select("doc_id", "own").mapInArrow(run, schema)
+    return each.groupBy("doc_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct("confidence", "lang")).alias("x")).select("doc_id", "x.lang", "x.confidence")
+
+
 def relabelled(docs: DataFrame, codes: DataFrame) -> DataFrame:
     """(doc_id, lang): the languages of running texts whose label is missing, names none of them, or that are in several.
 

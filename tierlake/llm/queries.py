@@ -29,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_clean": lambda s, d: sitelines.without_site_lines(_docs(s, d)).select("doc_id", "text"),
         "p5_found": lambda s, d: language.relabelled(_docs(s, d), _codes(s, d)),
         "p5_segments": lambda s, d: language.segments(_docs(s, d), _codes(s, d)),
-        "p5_documents": lambda s, d: language.documents(_docs(s, d), _codes(s, d)),
+        "p5_documents": lambda s, d: language.every_document(_docs(s, d), _codes(s, d)),
         "p7_found": lambda s, d: neardup.near_pairs(_docs(s, d)),
         "p7_groups": lambda s, d: neardup.groups(_docs(s, d)),
         "p8_ids": lambda s, d: encode.encode(_docs(s, d)),
