@@ -228,3 +228,11 @@ def test_every_document_has_a_language(labelled, tmp_path):
     assert sorted(r["doc_id"] for r in rows) == [*range(240), 902, 1000, 1001, 1002]
     got = {r["doc_id"]: r for r in rows}
     assert all(got[k]["lang"] == more[k][1] for k in (1000, 1001, 1002)) and all(0 <= r["confidence"] <= 1 for r in rows)
+
+
+def test_sequences_of_any_length(spark):
+    notice = [f"Notice {k}" for k in range(5)]
+    texts = ["\n".join(["x", *notice[:3], "y", *notice[3:], f"own {k}"]) for k in range(6)] + ["own"] * 2
+    patterns, _ = sitelines.mined(table(spark, texts), share=0.6)
+    got = [tuple(r["pattern"]) for r in patterns.collect()]
+    assert len(got) == len(set(got)) == 2**7 - 1 and max(map(len, got)) == 7

@@ -8,6 +8,8 @@ prefixes are extended by the frequent lines that follow them, level by level.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ from tierlake.plans.shared import cut, sized
 LEAST, SHARE = 5, 0.3
 #: A text of which less than this share is left without its source's lines is judged whole.
 LITTLE = 0.25
-#: Longest sequences that are mined.
-LONGEST = 3
 
 _TRIM = "trim(BOTH ' \\t' FROM x)"
 _LINES = "split(text, '\\n', -1)"
@@ -48,15 +48,18 @@ def sequences(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return of.select("doc_id", "source", F.expr(f"filter({numbered}, y -> y.line is not null and array_contains(site, y.line))").alias("seq")).where("size(seq) > 0")
 
 
-def prefixspan(seqs: DataFrame, lines: DataFrame, needs: DataFrame, longest: int = LONGEST) -> DataFrame:
+def prefixspan(seqs: DataFrame, lines: DataFrame, needs: DataFrame, longest: int | None = None) -> DataFrame:
     """(source, pattern array<bigint>, support): sequences of frequent lines, gaps allowed, that stand in enough documents.
 
     Each level holds, for each document and frequent pattern, the earliest place where the pattern is complete; the lines
-    after it extend the pattern. Documents hold only a source's few frequent lines, so a level stays narrow.
+    after it extend the pattern, until none is frequent (or up to ``longest`` lines). Every part of a frequent sequence is
+    one itself: a notice of n lines gives 2^n - 1 of them.
     """
     found = lines.select("source", F.array("line").alias("pattern"), "support")
     at = seqs.select("doc_id", "source", F.expr("transform(seq, y -> y.line)").alias("ids"), F.lit(0).alias("done"), F.expr("cast(array() as array<bigint>)").alias("pattern"))
-    for level in range(1, longest + 1):
+    for level in count(1):
+        if longest is not None and level > longest:
+            break
         rest = "slice(ids, done + 1, size(ids))"
         grown = at.select("doc_id", "source", "ids", "done", "pattern", F.explode(F.expr(f"array_distinct({rest})")).alias("line"))
         at = grown.select("doc_id", "source", "ids", F.expr(f"cast(done + array_position({rest}, line) as int)").alias("done"), F.expr("concat(pattern, array(line))").alias("pattern"))
@@ -71,7 +74,7 @@ def prefixspan(seqs: DataFrame, lines: DataFrame, needs: DataFrame, longest: int
     return found
 
 
-def mined(docs: DataFrame, share: float = SHARE, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def mined(docs: DataFrame, share: float = SHARE, least: int = LEAST, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(frequent sequences, sequences of documents); see ``prefixspan`` and ``sequences``."""
     lines, needs = frequent(docs, share, least)
     lines, needs = cut(lines), sized(needs)[0]
@@ -85,7 +88,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts, empty lines and documents without a source have no rows. A repeated row of a document counts as
     a document of its own in the support, as the table states it.
     """
-    patterns, seqs = mined(docs)
+    patterns, seqs = mined(docs, longest=1)  # every line of a frequent sequence is frequent
     gone = sized(patterns.select("source", F.explode("pattern").alias("line")).distinct())[0]
     each = seqs.select("doc_id", "source", F.inline("seq"))
     return each.join(gone, ["source", "line"], "left_semi").select("doc_id", "line_no")
