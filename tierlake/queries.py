@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.demo import CATALOG, LAYERS, corpus
-from tierlake.functions.values import shown
+from tierlake.functions.values import UNITS, from_columns, shown
 from tierlake.operators import drift, frequency, ids, mutate, shred, tokenize
 from tierlake.operators.predicates import And, Exists, GreaterThan, GreaterThanEqual, In, LessThan, LessThanEqual, Not, NotIn, Or, Query, Regex, Text, TextNot, TextRegex, Value_, ValueNot
 from tierlake.operators.render import render
@@ -97,19 +97,55 @@ def _removed(s: SparkSession, d: str) -> DataFrame:
     return mutate.remove(_text_corpus(s, d), _latest(s, d).where("op = 'remove'")).select(F.col("doc_pos").alias("doc_id"), "text")
 
 
+def _changes(updates: DataFrame) -> DataFrame:
+    """(doc_id, a column of payloads for each layer of _CHANGED): the latest change of each layer of a document after its last removal."""
+    at = F.struct("occurred_at", "upd_id", "received_at")
+    gone = updates.where("op = 'remove'").groupBy("doc_id").agg(F.max(at).alias("gone"))
+    live = updates.where("op <> 'remove' and payload is not null").withColumn("at", at).join(gone, "doc_id", "left").where("gone is null or at > gone")
+    return live.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(*[F.max_by(F.when(F.col("layer") == n, F.col("payload")), F.when(F.col("layer") == n, F.col("at"))).alias(n) for n in _CHANGED])
+
+
+#: Layers whose payloads state whole layers; those of spans (words, entities) are texts without positions, which make no units.
+_CHANGED = ("text", "pos", "lemma", "_notes")
+
+
+def _seq_units(payload: str) -> Column:
+    return F.transform(F.from_json(payload, "array<string>"), lambda x, i: F.struct(i.alias("s"), (i + 1).alias("e"), from_columns(x).alias("d"))).cast(UNITS)
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    """The documents of the corpus with ids by content and the layers of _CHANGED; no change touches the others."""
+    named = ids.assign(_text_corpus(s, d), _TEXT_ONLY).select("doc_pos", "doc_id")
+    return corpus(s, d).select("doc_pos", "text", "pos", "lemma", "_extra").join(named, "doc_pos")
+
+
+def _changed(docs: DataFrame) -> list[Column]:
+    """The layers of _CHANGED as plain values."""
+    values = lambda n: F.transform(n, lambda u: shown(u["d"])).alias(n)
+    return [F.col("text"), values("pos"), values("lemma"), F.try_element_at("_extra", F.lit("_notes")).alias("notes")]
+
+
 def _updated(s: SparkSession, d: str) -> DataFrame:
-    """The texts after the latest change of each document, where that gives a text; ids follow the new texts."""
-    docs = ids.assign(_text_corpus(s, d).withColumn("key", F.col("doc_id")), _TEXT_ONLY)
-    patch = _latest(s, d).where("op <> 'remove' and layer = 'text'").select(F.col("doc_id").alias("key"), F.expr("get_json_object(concat('[', payload, ']'), '$[0]')").alias("text")).where("text is not null")
-    named = patch.join(docs.select("key", "doc_id"), "key").select("doc_id", "text")
-    return mutate.update(docs, named, _TEXT_ONLY).select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    """The documents with the layers of ``_changes`` put in; ids follow the new texts."""
+    docs = cut(_named(s, d))
+    raw = _changes(_UPDATES(s, d)).withColumnRenamed("doc_id", "key")
+    keyed = docs.select("doc_id", F.col("doc_pos").cast("string").alias("key"))
+    patch = cut(raw.join(keyed, "key").select("doc_id", F.expr("get_json_object(concat('[', text, ']'), '$[0]')").alias("text"), _seq_units("pos").alias("pos"), _seq_units("lemma").alias("lemma"), "_notes"))
+    noted = docs.join(patch.select("doc_id", "_notes"), "doc_id", "left")
+    noted = noted.withColumn("_extra", F.when(F.col("_notes").isNull(), F.col("_extra")).otherwise(F.map_concat(F.map_filter("_extra", lambda k, _: k != "_notes"), F.create_map(F.lit("_notes"), F.col("_notes"))))).drop("_notes")
+    new = mutate.update(noted, patch.drop("_notes"), CATALOG)
+    return new.select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"), *_changed(new))
 
 
 def _added(s: SparkSession, d: str) -> DataFrame:
-    """The records of doc_updates that add a text, as documents after those of the corpus."""
-    docs = ids.assign(_text_corpus(s, d), _TEXT_ONLY)
-    new = _UPDATES(s, d).where("op = 'add' and layer = 'text'").groupBy("upd_id").agg(F.min("payload").alias("payload")).select(F.lit(None).cast("string").alias("doc_id"), F.col("upd_id").alias("doc_pos"), F.expr("get_json_object(concat('[', payload, ']'), '$[0]')").alias("text"))
-    return mutate.add(docs, new, _TEXT_ONLY).select("doc_pos", F.col("doc_id").alias("id"), "text")
+    """The records of doc_updates that add a layer of _CHANGED, as documents of that layer after those of the corpus."""
+    each = _UPDATES(s, d).where(F.expr("op = 'add'") & F.col("layer").isin(*_CHANGED)).groupBy("upd_id").agg(F.min(F.struct("layer", "payload")).alias("x"))
+    of = lambda n: F.when(F.col("x.layer") == n, F.col("x.payload"))
+    raw = each.select("upd_id", *[of(n).alias(n) for n in _CHANGED])
+    extra = F.when(F.col("_notes").isNotNull(), F.create_map(F.lit("_notes"), F.col("_notes"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    new = raw.select(F.lit(None).cast("string").alias("doc_id"), F.col("upd_id").alias("doc_pos"), F.expr("get_json_object(concat('[', text, ']'), '$[0]')").alias("text"), _seq_units("pos").alias("pos"), _seq_units("lemma").alias("lemma"), extra.alias("_extra"))
+    both = mutate.add(cut(_named(s, d)), new, CATALOG)
+    return both.select("doc_pos", F.col("doc_id").alias("id"), *_changed(both))
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
