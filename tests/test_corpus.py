@@ -13,10 +13,11 @@ from tierlake.errors import DocumentNotFoundError, FormatError, ModelError
 from tierlake.functions.arrays import ascending, deltas, running_sum
 from tierlake.meta import Catalog
 from tierlake.operators import ids, mutate, tokenize
-from tierlake.operators.render import block, render, wrapped
+from tierlake.operators.render import paragraph, render, table
 from tierlake.sources import binary, cbor, files, ingest
 from tierlake.streaming import channel, jsonl
 
+# Ids and the layout of YAML are those of corpora written elsewhere; the ids follow from the texts.
 META = {"text": {"type": "characters"}, "words": {"type": "span", "base": "text"}, "pos": {"type": "seq", "base": "words", "data": "string"}}
 FIRST = {"text": "This is a document.", "words": [[0, 4], [5, 7], [8, 9], [10, 18], [18, 19]], "pos": ["DT", "VBZ", "DT", "NN", "."]}
 SECOND = {"text": "Colorless green ideas sleep furiously.", "words": [[0, 8], [9, 16], [17, 22], [23, 30], [31, 40]], "pos": ["JJ", "JJ", "NNS", "VBZ", "RB"]}
@@ -80,6 +81,19 @@ def test_distinct_codes_that_share_a_head_are_folded(spark, monkeypatch):
     assert {r["doc_pos"]: r["doc_id"] for r in ids.assign(docs, one).collect()} == {0: "abcd", 1: "abcdZ", 2: "abcdX"}
 
 
+def test_ids_where_half_of_all_texts_are_null(spark, monkeypatch):
+    monkeypatch.setattr(ids, "code", lambda catalog: F.coalesce(F.col("text"), F.lit("null" + "-" * 40)))
+    texts = [None] * 300 + ["null" + "+" * 40] * 2 + [f"{i:04}" + "x" * 40 for i in range(300)]
+    random.Random(2).shuffle(texts)
+    one, want, taken = Catalog.from_dict({"text": {"type": "characters"}}), [], set()
+    for t in texts:
+        want.append(ids.shortest_free(t or "null" + "-" * 40, taken))
+        taken.add(want[-1])
+    docs = spark.createDataFrame([(None, i, t) for i, t in enumerate(texts)], "doc_id string, doc_pos bigint, text string")
+    got = ids.assign(docs, one)
+    assert [r["doc_id"] for r in got.orderBy("doc_pos").select("doc_id").collect()] == want
+
+
 def test_documents_change(basic):
     assert basic.order == ["Kjco", "9wpe"] and basic.get_doc_by_id("Kjco").text("words")[0] == "This"
     assert basic.update_doc("Kjco", {"text": "This is an updated document."}) == "JHEz" and basic.order == ["JHEz", "9wpe"]
@@ -166,13 +180,21 @@ def test_files_of_every_format(spark, basic, tmp_path):
     assert {r[0] for r in docs.select("doc_id").collect()} == {"Kjco", "9wpe"} and set(catalog) == set(META)
 
 
+def test_many_files_keep_their_order_and_every_document(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i:02}.json").write_text(json.dumps({"_meta": {"text": {"type": "characters"}}, **{f"{k}": {"text": f"{i} {k}"} for k in range(3)}}))
+    _, docs = files.read_many(spark, str(tmp_path), ignore_id_errors=True)
+    rows = docs.orderBy("doc_pos").collect()
+    assert [r["text"] for r in rows] == [f"{i} {k}" for i in range(40) for k in range(3)] and len({r["doc_pos"] for r in rows}) == 120
+
+
 def test_binary_format():
     meta = {"text": {"type": "characters"}}
     catalog = Catalog.from_dict(meta)
     out = io.BytesIO()
     binary.write(iter([Document(catalog, {"text": "Test string"})]), catalog, out)
     raw = out.getvalue()
-    assert raw[:12] == bytes([84, 69, 65, 78, 71, 65, 0, 1, 0, 0, 0, 23]) and raw[12:35] == cbor.dumps(meta) and raw[35:] == b"\0\0\0\x0bTest string"
+    assert raw[:12] == b"TEANGA\0\1\0\0\0\x17" and raw[12:35] == cbor.dumps(meta) and raw[35:] == b"\0\0\0\x0bTest string"
     rich = Catalog.from_dict({**meta, "w": {"type": "span", "base": "text"}, "t": {"type": "seq", "base": "w", "data": ["a", "b"]}, "s": {"type": "seq", "base": "w", "data": "string"}, "d": {"type": "div", "base": "text"}, "l": {"type": "element", "base": "w", "data": "link"}, "x": {"type": "span", "base": "w", "data": "link"}, "y": {"type": "seq", "base": "w", "data": "link"}})
     docs = [
         {"text": "ab cd é", "w": [[0, 2], [3, 5]], "t": ["b", "a"], "s": ["x", "x"], "d": [0, 3], "l": [[1, 0]], "x": [[1, 2, 70000, "k"], [0, 1, 3, "k"]], "y": [1, 0]},
@@ -192,6 +214,10 @@ def test_binary_format():
         assert binary.Reader(io.BytesIO(binary.varint(n))).varint() == n
     for value in (None, True, -5, 3.5, "é" * 300, [1, [2]], {"a": {"b": []}}, 1 << 40):
         assert cbor.loads(cbor.dumps(value)) == value
+    assert [binary.loads(binary.dumps(Document(rich, d)), rich).wire() for d in docs] == docs
+    for wrong in (b"", binary.dumps(Document(rich, docs[0]))[:-2]):
+        with pytest.raises(FormatError):
+            binary.loads(wrong, rich)
     with pytest.raises(FormatError):
         binary.pack_layer(rich["t"], [(0, 1, (1, -1, "zz"))], binary.Dictionary())
 
@@ -201,8 +227,12 @@ def test_rendering(spark):
     doc = Document(catalog, {"text": "The quick fox jumps", "words": [[0, 3], [4, 9], [10, 13], [14, 19]], "pos": ["det", "adj", "noun", "verb"], "lemma": ["the", "quick", "fox", "jump"], "ents": [[2, 3, "X"]]})
     want = "=== Ewyz ===\ntext: The quick fox jumps\n\nwords: The quick fox  jumps\nlemma: the quick fox  jump\npos  : det adj   noun verb\n\nents: fox/X\n"
     assert render("Ewyz", doc) == want
-    assert wrapped("t", "aa bb cc", 8) == ["t: aa bb", "   cc"]
-    assert block([("w", ["aaa", "bbb"]), ("xy", ["1"])], 8) == ["w : aaa", "xy: 1", "", "w : bbb", "xy:", ""] and block([("w", [])], 9) == ["w:", ""]
+    assert paragraph("t", "aa  bb\ncc", 8) == ["t: aa bb", "   cc"] and paragraph("t", "", 8) == ["t: "] and paragraph("t", "longword x", 2) == ["t: longword", "   x"]
+    assert table({"w": ["aaa", "bbb"], "xy": ["1"]}, 8) == ["w : aaa", "xy: 1", "", "w : bbb", "xy:", ""] and table({"w": []}, 9) == ["w:", ""]
+    assert table({"w": ["日本", "e\u0301", "x"], "p": ["N", "long", "V"]}, 80) == ["w: 日本 e\u0301    x", "p: N    long V", ""]
+    over = Document(catalog, {"text": "ab cd", "words": [[0, 2], [3, 5]], "pos": ["N", "V", "X"], "lemma": ["ab"]})
+    assert render("i", over).splitlines()[3:] == ["words: ab cd", "lemma: ab", "pos  : N  V"]
+    assert render("i", Document(catalog, {"pos": ["N"], "_x": 1})) == "=== i ===\n\npos:\n"
 
 
 def test_tokens_by_bytes(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +18,14 @@ from tierlake.operators.layers import Layers
 from tierlake.operators.predicates import Query, from_dict, from_kwargs
 from tierlake.operators.render import render
 from tierlake.plans import planner
+from tierlake.plans.shared import cut
 from tierlake.sources import files, ingest
 
 
+#: Changes after which the plans of a corpus are cut.
+CUT_EVERY = 16
+
+
 class DocumentBuilder:
     """``corpus.build_doc().layer("text", "...").add()``."""
 
@@ -36,13 +41,18 @@ class DocumentBuilder:
 
 
 class Corpus:
-    """Methods that change a corpus replace its frames by new ones; nothing is changed in place, and reads stay lazy."""
+    """Methods that change a corpus replace its frames by new ones; nothing is changed in place, and reads stay lazy.
+
+    Each call that changes documents runs jobs of its own and adds to the plan, which is cut every CUT_EVERY calls: they are
+    for editing by hand. ``operators.mutate`` changes any number of documents in one go.
+    """
 
     def __init__(self, spark: SparkSession, catalog: Catalog | Mapping[str, Any] | None = None, docs: DataFrame | None = None, indexes: Mapping[str, DataFrame] | None = None):
         self.spark = spark
         self.catalog = catalog if isinstance(catalog, Catalog) else Catalog.from_dict(catalog or {})
         self.docs = docs if docs is not None else spark.createDataFrame([], StructType.fromDDL(ingest.schema(self.catalog)))
         self.indexes: dict[str, DataFrame] = dict(indexes or {})
+        self._changes = 0
 
     # reading and writing
 
@@ -137,11 +147,20 @@ class Corpus:
 
     get_docs = property(lambda self: self.order)
 
+    def __iter__(self) -> Iterator[tuple[str, Document]]:
+        """(id, document) of all documents in order, fetched partition by partition."""
+        for r in self.docs.orderBy("doc_pos").toLocalIterator():
+            yield r["doc_id"], ingest.document_of(r.asDict(recursive=True), self.catalog)
+
     def build_doc(self) -> DocumentBuilder:
         return DocumentBuilder(self)
 
     def _changed(self, docs: DataFrame, touched: list[str]) -> None:
         self.docs = docs
+        self._changes += 1
+        if self._changes % CUT_EVERY == 0:
+            self.docs = docs = cut(docs)
+            self.indexes = {n: cut(i) for n, i in self.indexes.items()}
         if self.indexes:
             frame = self.spark.createDataFrame([(x,) for x in touched], "doc_id string")
             self.indexes = {n: planner.refresh(i, frame, docs, self.layers, n) for n, i in self.indexes.items()}
@@ -216,7 +235,7 @@ class Corpus:
     def create_index(self, layer: str) -> None:
         if layer not in self.catalog:
             raise LayerNotFoundError(layer)
-        self.indexes[layer] = planner.create_index(self.docs, self.layers, layer)
+        self.indexes[layer] = planner.kept(planner.create_index(self.docs, self.layers, layer))
 
     def drop_index(self, layer: str) -> None:
         self.indexes.pop(layer, None)
@@ -238,5 +257,4 @@ class Corpus:
         """One document, or all in order, as aligned text."""
         if doc_id is not None:
             return render(doc_id, self.get_doc_by_id(doc_id), width)
-        rows = self.docs.orderBy("doc_pos").toLocalIterator()
-        return "\n".join(render(r["doc_id"], ingest.document_of(r.asDict(recursive=True), self.catalog), width) for r in rows)
+        return "\n".join(render(i, doc, width) for i, doc in self)

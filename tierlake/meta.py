@@ -32,13 +32,13 @@ DataType = str | tuple[str, ...]
 
 
 def data_type(value: Any) -> DataType | None:
-    """A data type from its wire form: a word in any case, a list of words, or None."""
+    """A data type from its wire form: a list of words, the word link in any case, any other word as string, or None."""
     if value is None or isinstance(value, tuple):
         return value
     if isinstance(value, list) and all(isinstance(x, str) for x in value):
         return tuple(value)
-    if isinstance(value, str) and value.lower() in ("string", "link"):
-        return value.lower()
+    if isinstance(value, str):
+        return "link" if value.lower() == "link" else "string"
     raise ModelError(f"unknown data type {value!r}")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlake.operators.shred import parsed
+from tierlake.plans.shared import cut
 
 # Approved spellings of the attributes' keys, lower case and without marks between words.
 APPROVED = {
@@ -176,7 +177,7 @@ def changes(files: DataFrame) -> DataFrame:
     A header without readable layers counts as one without layers. Files that stand twice count once; an empty table has no changes.
     """
     each = consistent(files.dropDuplicates(["file_id"])).withColumn("x", F.struct("ord", "layer", *ATTRS, "spelt"))
-    whole = each.groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("layers"))
+    whole = cut(each.groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("layers")))  # read twice, as a file and as the one before it
     order = preceding(files)
     pairs = order.join(whole, "file_id", "left").join(whole.select(F.col("file_id").alias("before"), F.col("layers").alias("earlier")), "before", "left")
 

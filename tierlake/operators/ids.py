@@ -16,6 +16,8 @@ from tierlake.operators.layers import column
 from tierlake.plans.shared import cut, sized
 
 SHORTEST, LONGEST = 4, 44
+#: Prefixes that a code has.
+LENGTHS = LONGEST - SHORTEST + 1
 
 
 def code_of(content: Mapping[str, Any], catalog: Catalog) -> str:
@@ -48,38 +50,39 @@ def assign(docs: DataFrame, catalog: Catalog, existing: DataFrame | None = None)
 
     Ids only meet within their first four characters, so each such group is settled by itself, on narrow rows that are
     cut once: a document alone in its group has these four; where a group has one code alone, lengths follow from the rank
-    of a copy (ranked no further than lengths go, the rest have the whole code); the few mixed groups are folded. Only
-    documents with more than four characters are joined back, so the documents themselves are shuffled for many of them alone.
+    of a copy; mixed groups are folded. Each copy of a code takes one of its prefixes, so from the LENGTHS-th on copies
+    have the whole code: they are ranked no further (Spark keeps the least LENGTHS of a code in each task before it
+    shuffles) and never folded, so a group that is folded holds LENGTHS rows for each of its distinct codes, whatever the
+    number of copies. Only documents with more than four characters are joined back.
     """
     coded = docs.withColumn("_code", code(catalog))
     keys = cut(coded.select("doc_pos", "_code", F.left("_code", F.lit(SHORTEST)).alias("_head")))
     old = None if existing is None else existing.select(F.col("doc_id").alias("_code"), F.left("doc_id", F.lit(SHORTEST)).alias("_head"))
-    spread = keys.groupBy("_head").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.count("*").alias("n"))
+    heads = keys.groupBy("_head").agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.count("*").alias("n"))
     fresh = F.lit(True)
     if old is not None:
-        spread = spread.join(old.select("_head").distinct().withColumn("old", F.lit(True)), "_head", "left")
+        heads = heads.join(old.select("_head").distinct().withColumn("old", F.lit(True)), "_head", "left")
         fresh = F.col("old").isNull()
-    plain = spread.where((F.col("lo") == F.col("hi")) & fresh & (F.col("n") > 1)).select("_head")
-    mixed = spread.where((F.col("lo") != F.col("hi")) | ~fresh).select("_head")
-    rank = F.row_number().over(Window.partitionBy("_head").orderBy("doc_pos"))
-    copies = keys.join(plain, "_head", "left_semi")
-    ranked = copies.withColumn("_rank", rank).where(F.col("_rank") <= LONGEST - SHORTEST)
-    simple = ranked.select("doc_pos", F.expr(f"left(_code, {SHORTEST - 1} + _rank)").alias("_id"))
-    whole = copies.join(ranked.select("doc_pos"), "doc_pos", "left_anti").select("doc_pos", F.col("_code").alias("_id"))
+    heads = heads.select("_head", ((F.col("lo") == F.col("hi")) & fresh).alias("_plain"), "n").where("not _plain or n > 1").drop("n")
+    several = keys.join(heads, "_head")
+    rank = F.row_number().over(Window.partitionBy("_code").orderBy("doc_pos"))
+    ranked = cut(several.withColumn("_rank", rank).where(F.col("_rank") <= LENGTHS))
+    simple = ranked.where("_plain").select("doc_pos", F.expr(f"left(_code, {SHORTEST - 1} + _rank)").alias("_id"))
+    whole = several.join(ranked.select("doc_pos"), "doc_pos", "left_anti").select("doc_pos", F.col("_code").alias("_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken = set(group.loc[group["doc_pos"].isna(), "_code"])
-        new = group[group["doc_pos"].notna()].sort_values("doc_pos")
+        taken = set(group.loc[group["_old"], "_code"])
+        new = group[~group["_old"]].sort_values("doc_pos")
         out = []
         for full in new["_code"]:
             out.append(shortest_free(full, taken))
             taken.add(out[-1])
-        return pd.DataFrame({"doc_pos": new["doc_pos"].astype("int64"), "_id": out})
+        return pd.DataFrame({"doc_pos": new["doc_pos"], "_id": out})
 
-    rows = keys.select("_head", F.col("doc_pos").cast("double").alias("doc_pos"), "_code")
+    rows = ranked.where("not _plain").select("_head", F.col("doc_pos").cast("bigint").alias("doc_pos"), "_code", F.lit(False).alias("_old"))
     if old is not None:
-        rows = rows.union(old.select("_head", F.lit(None).cast("double"), "_code"))
-    folded = rows.join(mixed, "_head", "left_semi").groupBy("_head").applyInPandas(fold, "doc_pos bigint, _id string")
+        rows = rows.union(old.join(rows.select("_head").distinct(), "_head", "left_semi").select("_head", F.lit(-1).cast("bigint"), "_code", F.lit(True)))
+    folded = rows.groupBy("_head").applyInPandas(fold, "doc_pos bigint, _id string")
     longer, _ = sized(simple.union(whole).union(folded))
     settled = coded.drop("doc_id").join(longer, "doc_pos", "left")
     return settled.withColumn("doc_id", F.coalesce("_id", F.left("_code", F.lit(SHORTEST)))).drop("_id", "_code")

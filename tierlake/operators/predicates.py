@@ -47,6 +47,11 @@ class Query:
     def matches(self, doc: Document) -> bool:
         raise NotImplementedError
 
+    def reads(self) -> set[str]:
+        """The layers that the condition looks at."""
+        parts = getattr(self, "queries", None) or ([self.query] if hasattr(self, "query") else [])
+        return {self.layer} if hasattr(self, "layer") else set().union(*(q.reads() for q in parts))
+
     def __and__(self, other: Query) -> Query:
         return And((self, other))
 
@@ -376,7 +381,7 @@ def _condition(layer: str, bound: Any) -> Query:
 
 
 def from_dict(query: Mapping[str, Any]) -> Query:
-    """A query from a dict: layers with a value, a list of values or one operator; $and, $or, $not at any depth.
+    """A query from a dict: layers with a value, a list of values or one operator; $exists with a layer, $and, $or, $not at any depth.
 
     $and and $or take a list of queries or one map; $not takes a query or a list, of which it uses the first.
     """
@@ -393,6 +398,10 @@ def from_dict(query: Mapping[str, Any]) -> Query:
                     raise ModelError("$not needs a query")
                 arg = arg[0]
             out.append(Not(from_dict(arg)))
+        elif key == "$exists":
+            if not isinstance(arg, str):
+                raise ModelError("$exists takes the name of a layer")
+            out.append(Exists(arg))
         elif key.startswith("$"):
             raise ModelError(f"unknown operator {key}")
         else:

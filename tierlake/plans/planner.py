@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierlake.functions.values import literal
+from tierlake.document import value_of
 from tierlake.operators.layers import Layers
 from tierlake.operators.predicates import And, In, Or, Query, Value_
+from tierlake.plans.shared import stored
 
 
 def create_index(docs: DataFrame, layers: Layers, name: str) -> DataFrame:
@@ -18,12 +19,26 @@ def create_index(docs: DataFrame, layers: Layers, name: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(layers.data(name))).alias("value"), "doc_id", "doc_pos")
 
 
+def _is(value: object) -> Column:
+    """Field by field, since Parquet takes conditions on fields and not on structs."""
+    r, link, text = value_of(value)
+    return (F.col("value.r") == F.lit(r).cast("tinyint")) & (F.col("value.l") == link) & (F.col("value.t") == text)
+
+
+def kept(index: DataFrame, name: str = "index") -> DataFrame:
+    """The index written once, by value and within it by document; a lookup reads the row groups that can hold its value.
+
+    Ranges of (value, doc_id) are cut by size, so a value that stands in every document is in many partitions.
+    """
+    return stored(index.repartitionByRange("value", "doc_id").sortWithinPartitions("value", "doc_id"), name)
+
+
 def _hits(index: DataFrame, values: tuple) -> DataFrame:
     if not values:
         return index.where("false").select("doc_id")
     if len(values) == 1:
-        return index.where(F.col("value") == literal(values[0])).select("doc_id")
-    return index.where(F.array_contains(F.array(*[literal(v) for v in values]), F.col("value"))).select("doc_id").distinct()
+        return index.where(_is(values[0])).select("doc_id")
+    return index.where(reduce(Column.__or__, map(_is, values))).select("doc_id").distinct()
 
 
 def candidates(query: Query, indexes: Mapping[str, DataFrame]) -> DataFrame | None:
@@ -43,12 +58,24 @@ def candidates(query: Query, indexes: Mapping[str, DataFrame]) -> DataFrame | No
     return None
 
 
+def covered(query: Query, indexes: Mapping[str, DataFrame]) -> bool:
+    """Whether the candidates are the result: equality and sets over indexed layers, and And and Or of these."""
+    if isinstance(query, (Value_, In)):
+        return query.layer in indexes
+    return isinstance(query, (And, Or)) and bool(query.queries) and all(covered(q, indexes) for q in query.queries)
+
+
 def search(docs: DataFrame, layers: Layers, query: Query, indexes: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """The documents that match; those that indexes rule out aren't looked at. Order by doc_pos where order matters."""
-    able = candidates(query, indexes or {})
-    if able is not None:
-        docs = docs.join(able, "doc_id", "left_semi")
-    return docs.where(query.column(layers))
+    """The documents that match; those that indexes rule out aren't looked at. Order by doc_pos where order matters.
+
+    Where indexes answer the whole query, no layer of the documents is read for it.
+    """
+    indexes = indexes or {}
+    able = candidates(query, indexes)
+    if able is None:
+        return docs.where(query.column(layers))
+    docs = docs.join(able, "doc_id", "left_semi")
+    return docs if covered(query, indexes) else docs.where(query.column(layers))
 
 
 def estimate(docs: DataFrame, query: Query, indexes: Mapping[str, DataFrame]) -> int:

@@ -11,7 +11,7 @@ import zipfile
 from importlib.util import find_spec
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there, so that later filters and columns reach the scan."""
+    path = f"{shared_dir(df.sparkSession)}/tierlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized(df: DataFrame, most_rows: int = 20_000) -> tuple[DataFrame, int]:
     """``df`` cut, with a broadcast hint if it has at most ``most_rows`` rows; larger ones are left to a shuffle join.
 
@@ -53,6 +60,19 @@ def sized(df: DataFrame, most_rows: int = 20_000) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= most_rows else df), n
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``df``, cut, with ``name``: the place of each row in the order of ``by``, from 0 without gaps.
+
+    Rows are sorted by range, and only one count a partition is added up, so no task holds the whole order.
+    """
+    lined = cut(df.sort(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = lined.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_start"))  # a row for each partition of the sort
+    return lined.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_at", "_start")
+
+
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     """Writes ``content`` into the shared folder by Hadoop's file system, hands it to all executors, returns its name for ``SparkFiles.get``."""
     jvm = spark.sparkContext._jvm

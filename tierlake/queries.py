@@ -30,25 +30,25 @@ _RECORDS, _FILES, _DOCS, _UPDATES = _table("raw_records"), _table("layer_files")
 
 def _pieces(name: str) -> Run:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return corpus(s, d).select("doc_id", F.posexplode(LAYERS.text(name)).alias("ord", "piece")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "piece")
+        return corpus(s, d, name).select("doc_id", F.posexplode(LAYERS.text(name)).alias("ord", "piece")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "piece")
 
     return run
 
 
 def _positions(name: str, target: str) -> Run:
     def run(s: SparkSession, d: str) -> DataFrame:
-        each = corpus(s, d).select("doc_id", F.posexplode(LAYERS.indexes(name, target)).alias("ord", "x"))
+        each = corpus(s, d, name).select("doc_id", F.posexplode(LAYERS.indexes(name, target)).alias("ord", "x"))
         return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))])
 
     return run
 
 
 def _search(query: Query) -> Run:
-    return lambda s, d: planner.search(corpus(s, d), LAYERS, query).select("doc_id")
+    return lambda s, d: planner.search(corpus(s, d, "text", *query.reads()), LAYERS, query).select("doc_id")
 
 
 def _indexes_data(s: SparkSession, d: str) -> DataFrame:
-    each = corpus(s, d).select("doc_id", F.posexplode(LAYERS.indexes_data("pos", "text")).alias("ord", "x"))
+    each = corpus(s, d, "pos").select("doc_id", F.posexplode(LAYERS.indexes_data("pos", "text")).alias("ord", "x"))
     return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))], shown(F.col("x.d")).alias("value"))
 
 
@@ -68,21 +68,19 @@ def _ids(s: SparkSession, d: str) -> DataFrame:
     return ids.assign(_text_corpus(s, d), _TEXT_ONLY).select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"))
 
 
-def _indexes(docs: DataFrame) -> dict[str, DataFrame]:
-    return {n: planner.create_index(docs, LAYERS, n) for n in ("pos", "lemma")}
+def _index(s: SparkSession, d: str, name: str) -> DataFrame:
+    return planner.kept(planner.create_index(corpus(s, d, name), LAYERS, name), name)
 
 
 _BY_INDEX = And((Value_("pos", "NUM"), Or((In("lemma", ("winter", "river")), Value_("pos", "PRON")))))
 
 
 def _index_search(s: SparkSession, d: str) -> DataFrame:
-    docs = corpus(s, d)
-    return planner.search(docs, LAYERS, _BY_INDEX, _indexes(docs)).select("doc_id")
+    return planner.search(corpus(s, d, "text"), LAYERS, _BY_INDEX, {n: _index(s, d, n) for n in ("pos", "lemma")}).select("doc_id")
 
 
 def _estimates(s: SparkSession, d: str) -> DataFrame:
-    docs = corpus(s, d)
-    index = {"pos": cut(planner.create_index(docs, LAYERS, "pos"))}
+    docs, index = corpus(s, d, "text"), {"pos": _index(s, d, "pos")}
     asked = {"value": Value_("pos", "NUM"), "and": And((Value_("pos", "NUM"), In("pos", ("DET", "NOUN")))), "or": Or((Value_("pos", "NUM"), Value_("pos", "det"))), "none": Value_("pos", "absent"), "no index": Text("words", "x")}
     return s.createDataFrame([(k, planner.estimate(docs, q, index)) for k, q in asked.items()], "query string, n bigint")
 
@@ -116,7 +114,7 @@ def _seq_units(payload: str) -> Column:
 def _named(s: SparkSession, d: str) -> DataFrame:
     """The documents of the corpus with ids by content and the layers of _CHANGED; no change touches the others."""
     named = ids.assign(_text_corpus(s, d), _TEXT_ONLY).select("doc_pos", "doc_id")
-    return corpus(s, d).select("doc_pos", "text", "pos", "lemma", "_extra").join(named, "doc_pos")
+    return corpus(s, d, "pos", "lemma").select("doc_pos", "text", "pos", "lemma", "_extra").join(named, "doc_pos")
 
 
 def _changed(docs: DataFrame) -> list[Column]:
@@ -149,7 +147,7 @@ def _added(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    each = _DOCS(s, d).select("doc_id", F.posexplode(tokenize.tokens(F.col("text"), tokenize.SHARED)).alias("ord", "x"))
+    each = tokenize.tokenized(_DOCS(s, d).select("doc_id", "text"), pattern=tokenize.SHARED).select("doc_id", F.posexplode("tokens").alias("ord", "x"))
     return each.select("doc_id", *[F.col(c).cast("bigint").alias(a) for c, a in (("ord", "ord"), ("x.s", "s"), ("x.e", "e"))], "x.token")
 
 
@@ -188,7 +186,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(s: SparkSession, d: str) -> DataFrame:
-    each = corpus(s, d).select("doc_id", F.posexplode(F.arrays_zip(LAYERS.text("prev").alias("word"), LAYERS.linked_text("prev").alias("linked"))).alias("ord", "x"))
+    each = corpus(s, d, "prev").select("doc_id", F.posexplode(F.arrays_zip(LAYERS.text("prev").alias("word"), LAYERS.linked_text("prev").alias("linked"))).alias("ord", "x"))
     return each.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "x.word", "x.linked")
 
 
@@ -200,11 +198,11 @@ def _shown(s: SparkSession, d: str) -> DataFrame:
 
 
 def _value_counts(name: str) -> Run:
-    return lambda s, d: frequency.val_freq(corpus(s, d), LAYERS, name).select(shown(F.col("value")).alias("value"), "freq")
+    return lambda s, d: frequency.val_freq(corpus(s, d, name), LAYERS, name).select(shown(F.col("value")).alias("value"), "freq")
 
 
 def _postings(s: SparkSession, d: str) -> DataFrame:
-    return planner.create_index(corpus(s, d), LAYERS, "pos").select(shown(F.col("value")).alias("value"), "doc_id")
+    return planner.create_index(corpus(s, d, "pos"), LAYERS, "pos").select(shown(F.col("value")).alias("value"), "doc_id")
 
 
 SEARCHES: dict[str, Query] = {
@@ -234,7 +232,7 @@ SEARCHES: dict[str, Query] = {
 
 def queries() -> dict[str, Run]:
     return {
-        "scan_docs": lambda s, d: corpus(s, d).select("doc_id", "text"),
+        "scan_docs": lambda s, d: corpus(s, d, "text").select("doc_id", "text"),
         "doc_by_id": lambda s, d: (lambda docs: docs.join(F.broadcast(docs.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select("doc_id", "text"))(_DOCS(s, d)),
         "doc_ids_greedy": _ids,
         "doc_keys": lambda s, d: corpus(s, d).select("doc_id", F.explode(LAYERS.present(list(CATALOG))).alias("layer")),
@@ -251,13 +249,13 @@ def queries() -> dict[str, Run]:
         "indexes_element": _positions("prev", "text"),
         "indexes_div": _positions("lines", "text"),
         "indexes_div_tail": _positions("tens", "text"),
-        "indexes_characters": lambda s, d: corpus(s, d).select("doc_id", LAYERS.indexes("text", "text").alias("x")).where("x is not null").select("doc_id", F.size("x").cast("bigint").alias("n"), F.try_element_at("x", F.lit(-1))["e"].cast("bigint").alias("last")),
+        "indexes_characters": lambda s, d: corpus(s, d, "text").select("doc_id", LAYERS.indexes("text", "text").alias("x")).where("x is not null").select("doc_id", F.size("x").cast("bigint").alias("n"), F.try_element_at("x", F.lit(-1))["e"].cast("bigint").alias("last")),
         "indexes_data": _indexes_data,
         "layer_len": _layer_len,
         **{name: _search(q) for name, q in SEARCHES.items()},
-        "text_freq": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", strict=False),
-        "text_freq_in": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", ["the", "a", "der", "le"], strict=False),
-        "text_freq_where": lambda s, d: frequency.text_freq(corpus(s, d), LAYERS, "words", lambda c: c.contains("i"), strict=False),
+        "text_freq": lambda s, d: frequency.text_freq(corpus(s, d, "words"), LAYERS, "words", strict=False),
+        "text_freq_in": lambda s, d: frequency.text_freq(corpus(s, d, "words"), LAYERS, "words", ["the", "a", "der", "le"], strict=False),
+        "text_freq_where": lambda s, d: frequency.text_freq(corpus(s, d, "words"), LAYERS, "words", lambda c: c.contains("i"), strict=False),
         "val_freq": _value_counts("pos"),
         "val_freq_link": _value_counts("prev"),
         "index_postings": _postings,

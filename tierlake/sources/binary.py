@@ -6,6 +6,7 @@ part of the format. Texts of more than 65,535 bytes and links or places of 2^31
 
 from __future__ import annotations
 
+import io
 import struct
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from tierlake.meta import Catalog, LayerType
 from tierlake.sources import cbor, ingest
 
 # The six bytes that a file starts with, version, byte of a missing layer, and most strings that await their second sight.
-MAGIC, VERSION, MISSING, SEEN_ONCE = bytes([84, 69, 65, 78, 71, 65]), 1, 0xFF, 1_000_000
+MAGIC, VERSION, MISSING, SEEN_ONCE = b"TEANGA", 1, 0xFF, 1_000_000
 # The first tag of each shape, by how many numbers a unit has and whether it has a text.
 TAGS = {(1, False): 1, (2, False): 3, (3, False): 7, (0, True): 11, (1, True): 12, (2, True): 14, (3, True): 18}
 
@@ -193,14 +194,41 @@ def take_layer(tag: int, desc: Any, reader: Reader, words: Dictionary) -> Any:
     return list(columns[0]) if len(columns) == 1 else [list(x) for x in zip(*columns)]
 
 
+def dumps(doc: Document, words: Dictionary | None = None) -> bytes:
+    """One document; ``words`` are the strings of the documents before it, none by default."""
+    words = Dictionary() if words is None else words
+    return b"".join(pack_layer(doc.catalog[name], doc[name], words) if name in doc else bytes([MISSING]) for name in sorted(doc.catalog))
+
+
+def take_document(reader: Reader, catalog: Catalog, words: Dictionary) -> dict[str, Any] | None:
+    """The wire form of the next document, or None at the end."""
+    content = {}
+    for i, name in enumerate(sorted(catalog)):
+        tag = reader.more()
+        if tag is None:
+            if i:
+                raise FormatError("the file ends within a document")
+            return None
+        if tag != MISSING:
+            content[name] = take_layer(tag, catalog[name], reader, words)
+    return content if catalog else None
+
+
+def loads(raw: bytes, catalog: Catalog, words: Dictionary | None = None) -> Document:
+    """The document that ``dumps`` wrote."""
+    content = take_document(Reader(io.BytesIO(raw)), catalog, Dictionary() if words is None else words)
+    if content is None:
+        raise FormatError("no document")
+    return Document(catalog, content)
+
+
 def write(docs: Iterator[Document], catalog: Catalog, out: BinaryIO) -> None:
     """A corpus to an open file, document by document."""
     meta = cbor.dumps(catalog.to_dict())
     out.write(MAGIC + struct.pack(">HI", VERSION, len(meta)) + meta + b"\0")
     words = Dictionary()
     for doc in docs:
-        for name in sorted(catalog):
-            out.write(pack_layer(catalog[name], doc[name], words) if name in doc else bytes([MISSING]))
+        out.write(dumps(doc, words))
 
 
 def read(source: BinaryIO) -> tuple[Catalog, Iterator[dict[str, Any]]]:
@@ -216,14 +244,8 @@ def read(source: BinaryIO) -> tuple[Catalog, Iterator[dict[str, Any]]]:
         raise FormatError(f"texts are compressed by codec {codec}, which isn't supported")
 
     def documents() -> Iterator[dict[str, Any]]:
-        words, names = Dictionary(), sorted(catalog)
-        while (tag := reader.more()) is not None:
-            content = {}
-            for i, name in enumerate(names):
-                if i:
-                    tag = reader.take(1)[0]
-                if tag != MISSING:
-                    content[name] = take_layer(tag, catalog[name], reader, words)
+        words = Dictionary()
+        while (content := take_document(reader, catalog, words)) is not None:
             yield content
 
     return catalog, documents()

@@ -21,12 +21,17 @@ from tierlake.document import to_json
 from tierlake.errors import FormatError
 from tierlake.meta import Catalog, LayerType
 from tierlake.operators import ids
+from tierlake.plans.shared import cut, numbered
 from tierlake.sources import ingest
 
 # The format of each suffix; others are YAML.
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".cuac": "binary", ".tcf": "binary"}
 
 
+#: Documents that one file of ``read_many`` may hold; places count up by so many from file to file.
+MOST_IN_FILE = 1 << 32
+
+
 def guess_format(path: str) -> str:
     """The format of a file by its suffix, that before .gz where there is one; a folder is a store."""
     if os.path.isdir(path):
@@ -74,6 +79,7 @@ def with_ids(docs: DataFrame, catalog: Catalog, check: bool = True) -> DataFrame
     named = docs.withColumn("_given", F.col("doc_id"))
     out = ids.assign(named, catalog)
     if check:
+        out = cut(out)  # read once, for the check and for the caller
         n = F.least(F.length("_given"), F.length("doc_id"))
         wrong = out.where(F.expr("_given is not null") & (F.left("_given", n) != F.left("doc_id", n))).select("_given", "doc_id").head()
         if wrong:
@@ -125,7 +131,10 @@ def read_url(spark: SparkSession, url: str, **options: Any) -> tuple[Catalog, Da
 
 
 def read_many(spark: SparkSession, path: str, kind: str = "json", ignore_id_errors: bool = False) -> tuple[Catalog, DataFrame]:
-    """One corpus from a folder or pattern of JSON or YAML files with equal ``_meta``, each decoded whole on an executor."""
+    """One corpus from a folder or pattern of JSON or YAML files with equal ``_meta``, each decoded whole on an executor.
+
+    Documents are in the order of their files' names and, within one, of the file.
+    """
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
 
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +149,9 @@ def read_many(spark: SparkSession, path: str, kind: str = "json", ignore_id_erro
     if len(metas) != 1:
         raise FormatError("the files need one and the same _meta")
     catalog = Catalog.from_dict(json.loads(metas[0][0]))
-    files = each.select("file").distinct().withColumn("start", F.hash("file").cast("bigint") * (1 << 32))
-    placed = each.where("doc_id <> '_meta'").join(files, "file").select("doc_id", (F.col("start") + F.col("n")).alias("doc_pos"), "json")
+    sizes = each.where("doc_id <> '_meta'").groupBy("file").agg(F.count("*").alias("docs"), F.max("n").alias("last"))
+    files = numbered(sizes, ["file"], "place").select("file", (F.col("place") * MOST_IN_FILE).alias("start"), F.assert_true(F.col("last") < MOST_IN_FILE, "a file has too many documents").alias("fits"))
+    placed = each.where("doc_id <> '_meta'").join(files.where("fits is null"), "file").select("doc_id", (F.col("start") + F.col("n")).alias("doc_pos"), "json")
     return catalog, with_ids(ingest.from_json_lines(placed, catalog), catalog, not ignore_id_errors)
 
 
@@ -206,9 +216,12 @@ def write_yaml(docs: DataFrame, catalog: Catalog, out: Any) -> None:
 
 
 def write_store(docs: DataFrame, catalog: Catalog, path: str, indexes: Mapping[str, DataFrame] | None = None) -> None:
-    """The corpus as a folder: Parquet of the documents, the catalog beside it, and its indexes; the catalog is written last."""
+    """The corpus as a folder: Parquet of the documents by id, the catalog beside it, and its indexes by value; the catalog is written last.
+
+    Sorted so, a lookup of an id or a value reads the row groups whose statistics let it.
+    """
     spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
     for name, index in (indexes or {}).items():
         index.repartition("value").sortWithinPartitions("value").write.mode("overwrite").parquet(f"{path}/indexes/{name}")
     meta = to_json({"meta": catalog.to_dict(), "indexes": sorted(indexes or {})})
