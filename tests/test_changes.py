@@ -16,7 +16,7 @@ def test_update_doc_takes_the_latest_change_of_each_layer(spark, small, tmp_path
     got = {r["doc_id"]: r for r in queries.queries()["update_doc"](spark, str(tmp_path)).collect()}
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(got) == len(before) and got[a]["text"] == "New text" and got[b]["text"] == before[b]
-    assert got[a]["pos"] == ["DET", "NOUN"] and got[a]["notes"] == '["x"]' and got[b]["lemma"] == ["y"]
+    assert got[a]["pos"] == "DET|NOUN" and got[a]["notes"] == '["x"]' and got[b]["lemma"] == "y"
 
 
 def test_add_docs_adds_every_layer_that_has_units(spark, small):

@@ -33,9 +33,17 @@ def test_query(spark, small, duck, name):
     assert rows == sorted(str(tuple(r[i] for i in at)) for r in found.fetchall())
 
 
-def test_the_package_stands_without_its_llm_part():
+def test_the_package_stands_without_its_llm_part(spark, small, tmp_path):
     import pathlib
     import re
+    import shutil
+    import subprocess
+    import sys
 
     root = pathlib.Path(queries.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"^\s*(from|import)\s+tierlake\.llm", p.read_text(), re.M)]
+    shutil.copytree(root, tmp_path / "tierlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root.parent / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'text_freq' in q and 'p2_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, timeout=100)
+    assert run.returncode == 0, run.stderr

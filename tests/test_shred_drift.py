@@ -60,6 +60,42 @@ def test_links_are_those_of_a_walk(spark):
     assert shred.links(records(spark, [None]).where("false")).count() == 0
 
 
+DEEP = 20_000
+
+
+def test_records_nested_deeper_than_the_stack(spark):
+    deep = '{"k": ' + "[" * DEEP + '{"note_id": 1}' + "]" * DEEP + "}"
+    flat = '{"k": ' + "[" * DEEP + '1, null, ["x"]' + "]" * DEEP + "}"
+    bad = [deep[:-1], deep + "]", deep.replace("1", "01"), deep.replace('"note_id"', "note_id")]
+    assert {tuple(r) for r in shred.links(records(spark, [deep, flat, *bad])).collect()} == {(0, "k", "1")}
+    held = shred.shred(records(spark, [flat])).where("label = 'k'").first()["scalar"]
+    assert held == "[" * DEEP + '1, null, ["x"]' + "]" * DEEP
+    inside = json.dumps({"t": deep})
+    assert {tuple(r) for r in shred.links(records(spark, [inside])).collect()} == {(0, "t", "1")}
+
+
+@pytest.mark.parametrize("text", [*filter(None, CONTENTS[:2]), CONTENTS[-1], "[]", "{}", " [1 , {\"a\" : [ ] , \"a\": {} }] ", "3", '"x"', "true", "1e5", "[-0.5E+2]"])
+def test_the_deep_parser_reads_what_the_other_reads(text):
+    assert shred.parsed_deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", " ", "[", "]", "{", "[1,]", "[,1]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", '{"a":1 "b":2}', "[1]]", "1 2", "01", "+1", "1.", "nul", "NaN", "'a'", '"a', '"\t"', "[}", "{]", ":", ","])
+def test_the_deep_parser_refuses_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        shred.parsed_deep(text)
+
+
+def test_tables_keep_the_way_to_the_parent(spark):
+    content = json.dumps({"_meta": {"words": {"type": "span", "base": "text", "notes": [{"note_id": 1, "by": "ann", "body": "x"}]}}, "d": {"n": {"note_id": 2, "by": {"user": "bob"}, "marks": [{"layer": "pos", "at": [3]}], "re": [{"note_id": 3, "body": None}]}}})
+    got = {n: [r.asDict() for r in t.drop("rec_id").collect()] for n, t in shred.tables(records(spark, [content])).items()}
+    words, doc = got["layers"][0], got["documents"][0]
+    notes = {r["note_id"]: r for r in got["notes"]}
+    assert len(got["layers"]) == 1 and words["name"] == "words" and words["base"] == "text" and doc["doc_key"] == "d"
+    assert notes["1"]["parent"] == words["node"] and notes["2"]["parent"] == doc["node"] and notes["3"]["parent"] == notes["2"]["node"] and notes["1"]["body"] == "x"
+    assert {(r["note"], r["author"]) for r in got["authors"]} == {(notes["1"]["node"], "ann"), (notes["2"]["node"], "bob")}
+    assert [(r["note"], r["layer"], r["at"]) for r in got["marks"]] == [(notes["2"]["node"], "pos", "[3]")]
+
+
 def test_links_of_the_test_data(spark, small):
     table = spark.read.parquet(f"{small}/raw_records.parquet")
     got = {tuple(r) for r in shred.links(table).collect()}
@@ -78,8 +114,8 @@ def test_nodes_hold_the_whole_record(spark):
         return [built(x["node"]) for x in below] if r["kind"] == "array" else r["scalar"]
 
     assert built(0) == {"a": [{"b": "1"}, "x", "[2, 3]"], "c": {"d": None, "e": "[true, 1.5]"}}
-    notes = shred.entities(shred.shred(records(spark, CONTENTS[:1])), "note_id", ["more", "absent"]).collect()
-    assert {r["id"] for r in notes} == {"1", "2", "3", "4", "5.5"} and all(r["absent"] is None for r in notes)
+    notes = shred.entities(shred.shred(records(spark, CONTENTS[:1])), ["note_id", "more", "absent"]).where("note_id is not null").collect()
+    assert {r["note_id"] for r in notes} == {"1", "2", "3", "4", "5.5"} and all(r["absent"] is None for r in notes)
 
 
 def header(layers, **other):

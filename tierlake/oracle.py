@@ -56,6 +56,61 @@ _ROUND = f"""{_WITH}
   FROM documents d LEFT JOIN (SELECT * FROM pieces WHERE layer = 'entities') p ON p.doc_id = d.doc_id LEFT JOIN n_words n ON n.doc_id = d.doc_id"""
 _ROUND = _ROUND.replace("CAST(to_json([d.url]) AS VARCHAR)", "CASE WHEN d.url IS NULL THEN NULL ELSE CAST(to_json([d.url]) AS VARCHAR) END")
 
+_CODES = f"codes AS (SELECT doc_id, text, {_HASH} AS code FROM documents), named AS (SELECT doc_id, text, code, row_number() OVER (PARTITION BY code ORDER BY doc_id) AS k FROM codes)"
+_TAGS = "tags AS (SELECT doc_id, layer, string_agg(coalesce(datum, '~'), '|' ORDER BY ord) AS tags FROM u WHERE layer IN ('pos', 'lemma') GROUP BY doc_id, layer)"
+_CONTENTS = f"""{_WITH}, {_TAGS}, {_CODES}
+  SELECT left(d.code, CAST(least(44, 3 + d.k) AS BIGINT)) AS doc_id, sha256(coalesce(d.text, '')) AS hash, n.n AS n_words, t.tags
+  FROM named d LEFT JOIN n_words n ON n.doc_id = d.doc_id LEFT JOIN tags t ON t.doc_id = d.doc_id AND t.layer = 'pos'"""
+# Ids of changed and added documents: of each code the lengths that the documents before them leave, in turn.
+_FREE = """
+  free AS (
+    SELECT c.code, l.n AS size, row_number() OVER (PARTITION BY c.code ORDER BY l.n) AS k
+    FROM (SELECT DISTINCT code FROM fresh) c CROSS JOIN range(4, 44) l(n) LEFT JOIN kept t ON t.code = c.code AND t.size = l.n WHERE t.code IS NULL),
+  given AS (SELECT f.*, left(f.code, CAST(coalesce(r.size, 44) AS BIGINT)) AS id FROM fresh f LEFT JOIN free r ON r.code = f.code AND r.k = f.k)"""
+_OF_CODE = "to_base64(unhex(sha256(CASE WHEN new_text IS NULL THEN '' ELSE 'text' || chr(0) || new_text || chr(0) END)))"
+_JSON_TAGS = "array_to_string(list_transform(CAST(from_json({0}, '[\"VARCHAR\"]') AS VARCHAR[]), lambda x: coalesce(x, '~')), '|')"
+_AT = "struct_pack(o := occurred_at, u := upd_id, r := received_at)"
+_UPDATED = f"""{_WITH}, {_TAGS}, {_CODES},
+  gone AS (SELECT doc_id, max({_AT}) AS last FROM doc_updates WHERE op = 'remove' GROUP BY doc_id),
+  live AS (SELECT c.*, {_AT} AS moment FROM doc_updates c LEFT JOIN gone g ON g.doc_id = c.doc_id WHERE c.op <> 'remove' AND c.payload IS NOT NULL AND (g.last IS NULL OR {_AT} > g.last)),
+  patch AS (SELECT doc_id, {', '.join(f"arg_max(payload, moment) FILTER (WHERE layer = '{n}') AS p_{n}" for n in ('text', 'pos', 'lemma', '_notes'))} FROM live WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  changed AS (SELECT d.doc_id, coalesce(json_extract_string(p.p_text, '$'), d.text) AS new_text, p.p_pos, p.p_lemma, p.p__notes FROM documents d JOIN patch p ON p.doc_id = d.doc_id),
+  coded AS (SELECT *, {_OF_CODE} AS code FROM changed),
+  fresh AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY doc_id) AS k FROM coded),
+  kept AS (SELECT DISTINCT code, 3 + k AS size FROM named WHERE doc_id NOT IN (SELECT doc_id FROM patch)), {_FREE}
+  SELECT d.doc_id, coalesce(g.id, left(d.code, CAST(least(44, 3 + d.k) AS BIGINT))) AS id, CASE WHEN g.doc_id IS NULL THEN d.text ELSE g.new_text END AS text,
+    coalesce({_JSON_TAGS.format('g.p_pos')}, t.tags) AS pos, coalesce({_JSON_TAGS.format('g.p_lemma')}, l.tags) AS lemma, g.p__notes AS notes
+  FROM named d LEFT JOIN given g ON g.doc_id = d.doc_id LEFT JOIN tags t ON t.doc_id = d.doc_id AND t.layer = 'pos' LEFT JOIN tags l ON l.doc_id = d.doc_id AND l.layer = 'lemma'"""
+_ADDED = f"""{_WITH}, {_TAGS}, {_CODES},
+  news AS (SELECT upd_id, min(layer) AS layer, min(payload) AS payload FROM doc_updates WHERE op = 'add' AND layer IN ('text', 'pos', 'lemma', '_notes') GROUP BY upd_id),
+  coded AS (SELECT *, {_OF_CODE} AS code FROM (SELECT upd_id, layer, payload, CASE WHEN layer = 'text' THEN json_extract_string(payload, '$') END AS new_text FROM news)),
+  fresh AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY upd_id) AS k FROM coded),
+  kept AS (SELECT DISTINCT code, 3 + k AS size FROM named), {_FREE}
+  SELECT d.doc_id AS doc_pos, left(d.code, CAST(least(44, 3 + d.k) AS BIGINT)) AS id, d.text, t.tags AS pos, l.tags AS lemma, CAST(NULL AS VARCHAR) AS notes
+  FROM named d LEFT JOIN tags t ON t.doc_id = d.doc_id AND t.layer = 'pos' LEFT JOIN tags l ON l.doc_id = d.doc_id AND l.layer = 'lemma'
+  UNION ALL SELECT upd_id + (SELECT max(doc_id) + 1 FROM documents), id, new_text, CASE WHEN layer = 'pos' THEN {_JSON_TAGS.format("CASE WHEN layer = 'pos' THEN payload END")} END,
+    CASE WHEN layer = 'lemma' THEN {_JSON_TAGS.format("CASE WHEN layer = 'lemma' THEN payload END")} END, CASE WHEN layer = '_notes' THEN payload END FROM given"""
+_SHOWN = f"""{_WITH},
+  whole AS (SELECT d.doc_id, d.text FROM documents d JOIN (SELECT doc_id, max(e) AS last FROM w GROUP BY doc_id) x ON x.doc_id = d.doc_id
+    WHERE strlen(d.text) = length(d.text) AND (SELECT max(e) FROM w WHERE w.doc_id = d.doc_id AND w.ord = (SELECT max(ord) FROM w v WHERE v.doc_id = d.doc_id)) <= length(d.text)
+      AND d.doc_id IN (SELECT doc_id FROM u WHERE layer = 'entities') AND d.doc_id IN (SELECT doc_id FROM u WHERE layer = 'pos') AND d.doc_id IN (SELECT doc_id FROM u WHERE layer = 'lemma')),
+  one AS (SELECT * FROM whole ORDER BY doc_id LIMIT 1),
+  cells AS (SELECT p.ord, p.piece, coalesce(l.datum, '') AS lemma, coalesce(t.datum, '') AS pos
+    FROM pieces p JOIN one ON one.doc_id = p.doc_id LEFT JOIN u l ON l.doc_id = p.doc_id AND l.layer = 'lemma' AND l.ord = p.ord LEFT JOIN u t ON t.doc_id = p.doc_id AND t.layer = 'pos' AND t.ord = p.ord WHERE p.layer = 'words'),
+  wide AS (SELECT *, CAST(greatest(length(piece), length(lemma), length(pos)) AS INTEGER) AS n FROM cells),
+  ents AS (SELECT string_agg(p.piece || coalesce('/' || x.datum, ''), ' ' ORDER BY p.ord) AS line FROM pieces p JOIN one ON one.doc_id = p.doc_id JOIN u x ON x.doc_id = p.doc_id AND x.layer = 'entities' AND x.ord = p.ord WHERE p.layer = 'entities')
+  SELECT CAST(0 AS BIGINT) AS n, '=== ' || doc_id || ' ===' AS line FROM one
+  UNION ALL SELECT 1, 'text: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) FROM one
+  UNION ALL SELECT 2, '' FROM one
+  UNION ALL SELECT 3, rtrim('words: ' || string_agg(rpad(piece, n, ' '), ' ' ORDER BY ord)) FROM wide HAVING count(*) > 0
+  UNION ALL SELECT 4, rtrim('lemma: ' || string_agg(rpad(lemma, n, ' '), ' ' ORDER BY ord)) FROM wide HAVING count(*) > 0
+  UNION ALL SELECT 5, rtrim('pos  : ' || string_agg(rpad(pos, n, ' '), ' ' ORDER BY ord)) FROM wide HAVING count(*) > 0
+  UNION ALL SELECT 6, '' FROM one UNION ALL SELECT 7, 'entities: ' || line FROM ents WHERE line IS NOT NULL UNION ALL SELECT 8, '' FROM one"""
+_LAYERS = """(VALUES
+  ('text', 'characters', NULL, NULL, NULL, 0), ('words', 'span', 'text', NULL, NULL, 1), ('pos', 'seq', 'words', 'NOUN,VERB,ADJ,ADV,DET,PRON,ADP,PUNCT,NUM,PROPN,AUX,CCONJ,SCONJ', NULL, 2),
+  ('lemma', 'seq', 'words', 'string', NULL, 2), ('entities', 'span', 'words', 'string', NULL, 2), ('prev', 'element', 'words', 'link', 'words', 2), ('lines', 'div', 'text', NULL, NULL, 1), ('tens', 'div', 'words', NULL, NULL, 2),
+  ('document', 'div', 'text', NULL, NULL, 1), ('lang', 'seq', 'document', 'string', NULL, 2), ('source', 'seq', 'document', 'string', NULL, 2)) t(layer, type, base, data, target, depth)"""
+
 SQL: dict[str, str] = {
     "scan_docs": "SELECT doc_id, text FROM documents",
     "doc_by_id": "SELECT doc_id, text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)",
@@ -131,4 +186,24 @@ SQL: dict[str, str] = {
     "stream_roundtrip": f"{_WITH} SELECT sha256(coalesce(d.text, '')) AS hash, n.n AS n_words FROM documents d LEFT JOIN n_words n ON n.doc_id = d.doc_id",
     "link_resolve": f"""{_WITH} SELECT x.doc_id, x.ord, a.piece AS word, b.piece AS linked FROM u x JOIN pieces a ON a.layer = 'prev' AND a.doc_id = x.doc_id AND a.ord = x.ord
       LEFT JOIN pieces b ON b.layer = 'words' AND b.doc_id = x.doc_id AND b.ord = x.link WHERE x.layer = 'prev'""",
+    "update_doc": _UPDATED,
+    "add_docs": _ADDED,
+    "show_doc": _SHOWN,
+    "list_ids": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id FROM documents",
+    "set_order": "SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS n, doc_id FROM documents WHERE url IS NOT NULL",
+    "layer_descriptions": f"SELECT layer, type, base, data, target, CAST(depth AS BIGINT) AS depth FROM {_LAYERS}",
+    "yaml_header": f"SELECT layer, type, base, CAST(0 AS BIGINT) AS documents FROM {_LAYERS} WHERE layer IN ('text', 'words', 'pos', 'lemma', 'entities')",
+    **dict.fromkeys(("file_json", "file_yaml", "file_binary", "file_gzip", "file_url", "cli_load_convert", "binary_documents"), _CONTENTS),
+    "file_many": f"SELECT hash, n_words, tags FROM ({_CONTENTS})",
+    "channel_pipe": f"SELECT id, sha256(coalesce(text, '')) AS hash FROM ({_IDS})",
+    "query_builder": _docs(_some("entities", "true") + " AND " + _some("pos", "datum IS NULL OR datum <> 'X'") + " AND (" + _some_text("words", "piece = 'the'") + " OR " + _some("pos", "datum = 'NUM'") + ")"),
+    "query_dict": _docs("(" + _some("pos", "datum = 'NUM'") + " OR NOT " + _some("entities", "true") + ") AND " + _some_text("words", "piece <> 'the'") + " AND " + _some("lemma", "regexp_matches(datum, '^w')")),
+    "search_order": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id FROM ({_docs(_some('pos', "datum IN ('NUM', 'PRON')") + ' AND ' + _some('entities', 'true'))})",
+    "index_refresh": f"{_WITH}, {_LATEST} SELECT DISTINCT datum AS value, doc_id FROM u WHERE layer = 'pos' AND doc_id NOT IN (SELECT doc_id FROM latest WHERE x.op = 'remove' AND doc_id IS NOT NULL)",
+    "index_installed": _docs(_some("lemma", "datum IN ('winter', 'river')")),
+    "text_freq_python": f"{_WITH} SELECT piece AS text, count(*) AS freq FROM pieces WHERE layer = 'words' AND piece LIKE '%s' GROUP BY piece",
+    "val_freq_in": f"{_WITH} SELECT datum AS value, count(*) AS freq FROM u WHERE layer = 'pos' AND datum IN ('NUM', 'DET') GROUP BY datum",
+    "val_freq_where": f"{_WITH} SELECT datum AS value, count(*) AS freq FROM u WHERE layer = 'pos' AND datum LIKE 'A%' GROUP BY datum",
+    "array_deltas": f"""{_WITH}, steps AS (SELECT doc_id, ord, s - lag(s, 1, 0) OVER (PARTITION BY doc_id ORDER BY ord) AS step, s > lag(s) OVER (PARTITION BY doc_id ORDER BY ord) AS up FROM w)
+      SELECT doc_id, string_agg(CAST(step AS VARCHAR), ',' ORDER BY ord) AS steps, bool_and(coalesce(up, true)) AS rises FROM steps GROUP BY doc_id""",
 }

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierlake import cli
+from tierlake.corpus import Corpus
 from tierlake.demo import CATALOG, LAYERS, corpus
+from tierlake.functions.arrays import ascending, deltas
 from tierlake.functions.values import UNITS, from_columns, shown
 from tierlake.operators import drift, frequency, ids, mutate, shred, tokenize
-from tierlake.operators.predicates import And, Exists, GreaterThan, GreaterThanEqual, In, LessThan, LessThanEqual, Not, NotIn, Or, Query, Regex, Text, TextNot, TextRegex, Value_, ValueNot
+from tierlake.operators.predicates import And, Exists, GreaterThan, GreaterThanEqual, In, LessThan, LessThanEqual, Not, NotIn, Or, Query, QueryBuilder, Regex, Text, TextNot, TextRegex, Value_, ValueNot, from_dict
 from tierlake.operators.render import render
 from tierlake.plans import planner
-from tierlake.plans.shared import cut, shared_dir
-from tierlake.sources import files, ingest
-from tierlake.streaming import jsonl
+from tierlake.plans.shared import cut, numbered, shared_dir
+from tierlake.sources import binary, files, ingest
+from tierlake.streaming import channel, jsonl
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -118,8 +126,8 @@ def _named(s: SparkSession, d: str) -> DataFrame:
 
 
 def _changed(docs: DataFrame) -> list[Column]:
-    """The layers of _CHANGED as plain values."""
-    values = lambda n: F.transform(n, lambda u: shown(u["d"])).alias(n)
+    """The layers of _CHANGED as plain text, values parted by |, those without one as ~."""
+    values = lambda n: F.array_join(F.transform(n, lambda u: shown(u["d"])), "|", "~").alias(n)
     return [F.col("text"), values("pos"), values("lemma"), F.try_element_at("_extra", F.lit("_notes")).alias("notes")]
 
 
@@ -190,11 +198,176 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "x.word", "x.linked")
 
 
+_TAGGED = type(CATALOG)({n: CATALOG[n] for n in ("text", "words", "pos", "lemma", "entities")})
+
+
+def _tagged(s: SparkSession, d: str) -> DataFrame:
+    """The documents with the layers of _TAGGED and ids by content."""
+    named = ids.assign(_text_corpus(s, d), _TEXT_ONLY).select("doc_pos", "doc_id")
+    return corpus(s, d, "pos", "lemma", "entities").drop("doc_id").join(named, "doc_pos").select("doc_id", "doc_pos", *_TAGGED, F.expr("cast(map() as map<string,string>)").alias("_extra"))
+
+
+#: The same for the binary format, whose values of a layer are of one kind and of an enumeration its members alone.
+_LOOSE = type(CATALOG)({**_TAGGED, "pos": replace(CATALOG["pos"], data="string")})
+
+
+def _loose(s: SparkSession, d: str) -> DataFrame:
+    """``_tagged`` with ~ for units without a value."""
+    filled = lambda u: F.struct(u["s"].alias("s"), u["e"].alias("e"), from_columns(F.coalesce(shown(u["d"]), F.lit("~"))).alias("d"))
+    return _tagged(s, d).select("doc_id", "doc_pos", "text", "words", *[F.transform(n, filled).cast(UNITS).alias(n) for n in ("pos", "lemma", "entities")], "_extra")
+
+
 def _shown(s: SparkSession, d: str) -> DataFrame:
-    """The first annotated document as text, a row a line."""
-    row = corpus(s, d).where("entities is not null").orderBy("doc_pos").head()
-    text = render(str(row["doc_id"]), ingest.document_of(row.asDict(recursive=True), CATALOG)) if row else ""
-    return s.createDataFrame(list(enumerate(text.split("\n"))), "n bigint, line string")
+    """The first document in plain letters that has every layer of _TAGGED, whole words alone, as text, a row a line."""
+    plain = corpus(s, d, "pos", "lemma", "entities").where("entities is not null and pos is not null and lemma is not null and octet_length(text) = length(text) and element_at(words, -1).e <= length(text)")
+    row = plain.orderBy("doc_pos").head()
+    text = render(str(row["doc_id"]), ingest.document_of({**row.asDict(recursive=True), "_extra": {}}, _TAGGED), 1 << 20) if row else None
+    return s.createDataFrame([] if text is None else list(enumerate(text.split("\n"))), "n bigint, line string")
+
+
+def _local(s: SparkSession, name: str) -> str:
+    """A new folder within the shared one, as a path of this machine; formats of one file are written by the driver."""
+    path = _folder(s, name)
+    if not path.startswith(("file:", "/")):
+        raise ValueError("the formats of one file need a shared folder that the driver can open")
+    path = path.removeprefix("file://")
+    os.makedirs(path)
+    return path
+
+
+def _contents(docs: DataFrame) -> DataFrame:
+    """Documents by content, as files may order them otherwise."""
+    return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.when(F.col("words").isNotNull(), F.size("words")).cast("bigint").alias("n_words"), F.array_join(F.transform("pos", lambda u: shown(u["d"])), "|", "~").alias("tags"))
+
+
+def _through(name: str) -> Run:
+    """The corpus written to a file of its own and read back, ids checked."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = f"{_local(s, 'file')}/{name}"
+        (Corpus(s, _LOOSE, _loose(s, d)) if name.endswith(".cuac") else Corpus(s, _TAGGED, _tagged(s, d))).write(path.removesuffix(".gz"))
+        if name.endswith(".gz"):
+            with open(path.removesuffix(".gz"), "rb") as plain, gzip.open(path, "wb") as packed:
+                shutil.copyfileobj(plain, packed)
+        return _contents(Corpus.read(s, path).docs)
+
+    return run
+
+
+def _by_url(s: SparkSession, d: str) -> DataFrame:
+    path = f"{_local(s, 'url')}/corpus.json"
+    Corpus(s, _TAGGED, _tagged(s, d)).write(path)
+    return _contents(Corpus.read_url(s, f"file://{path}").docs)
+
+
+def _many(s: SparkSession, d: str) -> DataFrame:
+    """The corpus as a file of JSON for each of 16 parts, read as one."""
+    path, docs = _local(s, "many"), cut(_tagged(s, d))
+    for part in range(16):
+        Corpus(s, _TAGGED, docs.where(F.col("doc_pos") % 16 == part)).write(f"{path}/{part:02}.json")
+    return _contents(files.read_many(s, path, ignore_id_errors=True)[1]).select("hash", "n_words", "tags")
+
+
+def _commands(s: SparkSession, d: str) -> DataFrame:
+    """The corpus through the commands load and convert."""
+    path = _local(s, "cli")
+    Corpus(s, _LOOSE, _loose(s, d)).write(f"{path}/a.json")
+    cli.main(["load", f"{path}/a.json", f"{path}/store"])
+    cli.main(["convert", f"{path}/store", f"{path}/b.cuac"])
+    cli.main(["convert", f"{path}/b.cuac", f"{path}/c.json"])
+    return _contents(Corpus.read(s, f"{path}/c.json").docs)
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    """Each document in binary form and back, by itself."""
+    columns = ingest.arrow_schema(_LOOSE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                raw = binary.dumps(ingest.document_of(row, _LOOSE))
+                rows.append(ingest.row_of(binary.loads(raw, _LOOSE), row["doc_id"], row["doc_pos"]))
+            yield pa.RecordBatch.from_pylist(rows, columns)
+
+    return _contents(_loose(s, d).mapInArrow(run, ingest.schema(_LOOSE)))
+
+
+def _piped(s: SparkSession, d: str) -> DataFrame:
+    """The texts through a channel of documents, which names them by content."""
+
+    def produce(sender: channel.Sender) -> None:
+        sender.set_meta(_TEXT_ONLY)
+        for r in _DOCS(s, d).orderBy("doc_id").select("text").toLocalIterator():
+            sender.add_doc({} if r["text"] is None else {"text": r["text"]})
+
+    got = channel.pipe(produce, lambda receiver: [(i, doc.get("text")) for i, doc in receiver])
+    return s.createDataFrame(got, "id string, text string").select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    """The layers of a corpus declared one by one, and the catalog that its store gives back."""
+    made = Corpus(s)
+    for name in sorted(CATALOG, key=CATALOG.depth):
+        desc = CATALOG[name]
+        made.build_layer(name).type(desc.layer_type.value).base(desc.base).data(list(desc.data) if isinstance(desc.data, tuple) else desc.data).target(desc.target).add()
+    path = _folder(s, "meta")
+    made.write(path, "store")
+    back = Corpus.read(s, path, kind="store").catalog
+    rows = [(n, x.layer_type.value, x.base, x.data if isinstance(x.data, str) else None if x.data is None else ",".join(x.data), x.target, back.depth(n)) for n, x in back.items()]
+    return s.createDataFrame(rows, "layer string, type string, base string, data string, target string, depth bigint")
+
+
+def _header(s: SparkSession, d: str) -> DataFrame:
+    """The layers of the header of a YAML file, whose documents aren't read."""
+    path = f"{_local(s, 'header')}/corpus.yaml"
+    Corpus(s, _TAGGED, _tagged(s, d)).write(path)
+    head = Corpus.read(s, path, header_only=True)
+    return s.createDataFrame([(n, x.layer_type.value, x.base, head.docs.count()) for n, x in head.catalog.items()], "layer string, type string, base string, documents bigint")
+
+
+def _reordered(s: SparkSession, d: str) -> DataFrame:
+    """The documents with an url in reverse order."""
+    docs = _text_corpus(s, d)
+    order = _DOCS(s, d).where("url is not null").select(F.col("doc_id").cast("string").alias("doc_id"), (-F.col("doc_id")).alias("pos"))
+    return numbered(mutate.reorder(docs, order), ["doc_pos"], "n").select("n", F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+def _maintained(s: SparkSession, d: str) -> DataFrame:
+    """The index of pos after the documents that were removed last are gone."""
+    docs = corpus(s, d, "pos").withColumn("doc_id", F.col("doc_id").cast("string"))
+    gone = _latest(s, d).where("op = 'remove' and doc_id is not null").select("doc_id").distinct()
+    index = planner.refresh(planner.kept(planner.create_index(docs, LAYERS, "pos")), gone, mutate.remove(docs, gone), LAYERS, "pos")
+    return index.select(shown(F.col("value")).alias("value"), F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+def _installed(s: SparkSession, d: str) -> DataFrame:
+    """A search by an index that was made, dropped and installed again."""
+    made = Corpus(s, CATALOG, corpus(s, d, "lemma"))
+    made.create_index("lemma")
+    index = made.get_index("lemma")
+    made.drop_index("lemma")
+    if made.has_index("lemma"):
+        raise ValueError("the index is still there")
+    made.set_index("lemma", index)
+    return made.search({"lemma": ["winter", "river"]}).select("doc_id")
+
+
+_BUILT = QueryBuilder().exists("entities").value_not("pos", "X").or_([Text("words", "the"), In("pos", ("NUM",))]).build()
+_ASKED = from_dict({"$or": [{"pos": "NUM"}, {"$not": {"$exists": "entities"}}], "words": {"$text_ne": "the"}, "lemma": {"$regex": "^w"}})
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    """The places of the documents that match, in order."""
+    query = from_dict({"pos": ["NUM", "PRON"], "$exists": "entities"})
+    hits = planner.search(corpus(s, d, *query.reads()), LAYERS, query)
+    return numbered(hits.select("doc_id", "doc_pos"), ["doc_pos"], "n").select("n", "doc_id")
+
+
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    """The starts of words as differences, and whether they rise."""
+    starts = corpus(s, d, "words").where("words is not null").select("doc_id", F.transform("words", lambda u: u["s"]).alias("at"))
+    return starts.select("doc_id", F.array_join(deltas(F.col("at")).cast("array<string>"), ",").alias("steps"), ascending(F.col("at")).alias("rises"))
 
 
 def _value_counts(name: str) -> Run:
@@ -271,9 +444,31 @@ def queries() -> dict[str, Run]:
         "stream_roundtrip": _streamed,
         "link_resolve": _linked,
         "show_doc": _shown,
+        "list_ids": lambda s, d: numbered(_text_corpus(s, d), ["doc_pos"], "n").select("n", F.col("doc_id").cast("bigint").alias("doc_id")),
+        "set_order": _reordered,
+        "layer_descriptions": _described,
+        "yaml_header": _header,
+        "file_json": _through("corpus.json"),
+        "file_yaml": _through("corpus.yaml"),
+        "file_binary": _through("corpus.cuac"),
+        "file_gzip": _through("corpus.json.gz"),
+        "file_url": _by_url,
+        "file_many": _many,
+        "cli_load_convert": _commands,
+        "binary_documents": _packed,
+        "channel_pipe": _piped,
+        "query_builder": _search(_BUILT),
+        "query_dict": _search(_ASKED),
+        "search_order": _ranked,
+        "index_refresh": _maintained,
+        "index_installed": _installed,
+        "text_freq_python": lambda s, d: frequency.text_freq(corpus(s, d, "words"), LAYERS, "words", frequency.by_python(lambda w: w.endswith("s")), strict=False),
+        "val_freq_in": lambda s, d: frequency.val_freq(corpus(s, d, "pos"), LAYERS, "pos", ["NUM", "DET"]).select(shown(F.col("value")).alias("value"), "freq"),
+        "val_freq_where": lambda s, d: frequency.val_freq(corpus(s, d, "pos"), LAYERS, "pos", lambda v: v["t"].startswith("A")).select(shown(F.col("value")).alias("value"), "freq"),
+        "array_deltas": _steps,
         "p2_found": lambda s, d: shred.links(_RECORDS(s, d)),
         "p2_nodes": lambda s, d: shred.shred(_RECORDS(s, d)),
-        "p2_notes": lambda s, d: shred.entities(shred.shred(_RECORDS(s, d)), "note_id", ["body", "by"]).drop("up"),
+        **{f"p2_{n}": (lambda n: lambda s, d: shred.tables(_RECORDS(s, d))[n])(n) for n in ("layers", "documents", "notes", "authors", "marks")},
         "p6_found": lambda s, d: drift.changes(_FILES(s, d)),
         "p6_layers": lambda s, d: drift.consistent(_FILES(s, d)),
     }

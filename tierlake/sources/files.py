@@ -90,7 +90,7 @@ def with_ids(docs: DataFrame, catalog: Catalog, check: bool = True) -> DataFrame
 def _from_object(spark: SparkSession, value: dict[str, Any], header_only: bool, ignore_id_errors: bool, catalog: Catalog | None) -> tuple[Catalog, DataFrame]:
     catalog = Catalog.from_dict(value["_meta"]) if value.get("_meta") is not None else catalog or Catalog()
     pairs = [] if header_only else [(k, v) for k, v in value.items() if k not in ("_meta", "_order")]
-    lines = spark.createDataFrame([(k, i, to_json(v)) for i, (k, v) in enumerate(pairs)], "doc_id string, doc_pos bigint, json string")
+    lines = spark.createDataFrame([(k, i, to_json({} if v is None else v)) for i, (k, v) in enumerate(pairs)], "doc_id string, doc_pos bigint, json string")
     docs = with_ids(ingest.from_json_lines(lines, catalog), catalog, not ignore_id_errors)
     order = None if header_only else value.get("_order")
     if order is not None:
@@ -209,7 +209,7 @@ def write_yaml(docs: DataFrame, catalog: Catalog, out: Any) -> None:
     for line in _yaml_header(catalog):
         out.write(line)
     for doc_id, wire in ordered(docs, catalog):
-        out.write(f"{doc_id}:\n")
+        out.write(f"{doc_id}:\n" if wire else f"{doc_id}: {{}}\n")
         for name, value in wire.items():
             is_text = isinstance(value, str) and not name.startswith("_") and catalog[name].layer_type is LayerType.characters
             out.write(f"    {name}: {yaml_scalar(value) if is_text else to_json(value)}\n")
