@@ -103,7 +103,7 @@ def test_signatures_estimate_similarity():
     assert max(gap) < 0.25 and np.mean(gap) < 0.02
 
 
-def test_groups_and_common_lines(spark):
+def test_groups(spark):
     texts = corpus(13, 30)
     docs = table(spark, texts)
     pairs = near(texts, 0.8, 5)
@@ -113,11 +113,6 @@ def test_groups_and_common_lines(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs).collect()}
     assert got == {i: label[i] for i, t in enumerate(texts) if t and t.strip()}
-    bits, n = shingles.common_lines(docs, 0.3, 5)
-    assert n == len(texts) and bits.sum() == 1
-    fold, _, breaks = shingles.folded_lines([texts[0]])
-    kept = shingles.without_common(fold, breaks, bits)
-    assert (kept[: texts[0].index("\n")] == fold[: texts[0].index("\n")]).all() and not kept[texts[0].index("\n") :].any()
 
 
 def test_components_of_a_long_chain(spark):

@@ -31,7 +31,15 @@ def test_bulk_forms_are_those_of_single_texts():
     rng = random.Random(3)
     alphabet = [*"abc XyZ\n\t019éñÅ", "á", "о", "Ｗ", "​", "\xad", "ﬁ", "日", "한", "ᄒ", "ᅡ", "́", "\xa0", "🙂", "न", "्"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", "\0", "plain"]
-    assert ["".join(map(chr, f[:-1])) for f in unify.skeletons(texts)] == [chars.consistent(t) for t in texts]
+    assert ["".join(map(chr, f[:-1])) for f in unify.skeletons(texts)] == [chars.skeleton(t) for t in texts]
+
+
+def test_lookalikes_of_many_scripts():
+    for to, others in chars.LOOK.items():
+        assert {chars.consistent(x) for x in others} == {to} and {chars.consistent(f"{x}\u0301") for x in others} == {chars.consistent(f"{to}\u0301")}
+    assert chars.consistent("ı ց Ꭺ Ꮮ Ь") == "i g A L b" and sum(map(len, chars.LOOK.values())) < 200
+    table, _ = chars.folds()
+    assert all(table[ord(x)] == table[ord(to.lower())] for to, others in chars.LOOK.items() for x in others if to.isalpha())
 
 
 def test_pairs_that_look_the_same(spark):
@@ -96,10 +104,16 @@ def test_sequences_against_brute_force(spark):
         it = iter(seq)
         return all(x in it for x in pattern)
 
-    single = {p[0] for p in got if len(p) == 1}
-    every = [(a,) for a in single] + [(a, b) for a in single for b in single] + [(a, b, c) for a in single for b in single for c in single]
-    want = {p: n for p in every if (n := sum(holds(s, p) for s in own)) >= max(5, 0.15 * len(texts))}
-    assert got == want and max(map(len, got)) > 1
+    lines = {x for s in own for x in s}
+    support = lambda p: sum(holds(s, p) for s in own)
+    every = [(a,) for a in lines] + [(a, b) for a in lines for b in lines] + [(a, b, c) for a in lines for b in lines for c in lines]
+    often = {p: n for p in every if (n := support(p)) >= max(5, 0.15 * len(texts))}
+    assert all(support(p) == n for p, n in got.items()) and max(map(len, got)) > 1
+    for p, n in often.items():
+        assert any(m == n and holds(q, p) for q, m in got.items()), p
+    for p, n in got.items():
+        assert all(support((*p, x)) < n for x in lines), p
+    assert {x for p in got for x in p} == {p[0] for p in often if len(p) == 1}
 
 
 PROSE = [
@@ -231,8 +245,52 @@ def test_every_document_has_a_language(labelled, tmp_path):
 
 
 def test_sequences_of_any_length(spark):
-    notice = [f"Notice {k}" for k in range(5)]
-    texts = ["\n".join(["x", *notice[:3], "y", *notice[3:], f"own {k}"]) for k in range(6)] + ["own"] * 2
+    notice = [f"Notice {k}" for k in range(25)]
+    texts = ["\n".join(["x", *notice[:3], "y", *notice[3:], f"own {k}"]) for k in range(6)] + ["\n".join(notice[:10])] * 2
     patterns, _ = sitelines.mined(table(spark, texts), share=0.6)
-    got = [tuple(r["pattern"]) for r in patterns.collect()]
-    assert len(got) == len(set(got)) == 2**7 - 1 and max(map(len, got)) == 7
+    got = {len(r["pattern"]): r["support"] for r in patterns.collect()}
+    assert got == {27: 6, 10: 8} and patterns.count() == 2
+
+
+def test_many_lines_are_joined_by_source_and_salt(spark, monkeypatch):
+    docs = table(spark, site(random.Random(7)))
+    want = {tuple(r) for r in sitelines.repeated_lines(docs).collect()}
+    monkeypatch.setattr(sitelines, "FEW", 1)
+    assert {tuple(r) for r in sitelines.repeated_lines(docs).collect()} == want and len(want) > 50
+
+
+def test_lines_keep_their_numbers(labelled):
+    docs, codes, _ = labelled
+    spark = docs.sparkSession
+    rng = random.Random(2)
+    texts = [f"Home | Contact\n\n{made(rng, 'en', 20)}\nShare this page\n{made(rng, 'de', 20)}" for _ in range(8)]
+    some = docs.unionByName(table(spark, texts, "paper", start=2000))
+    got = sorted((r["first_line"], r["last_line"], r["lang"]) for r in language.segments(some, codes).where("doc_id = 2000").collect())
+    assert got == [(3, 3, "en"), (5, 5, "de")]
+
+
+# One paragraph in each of some languages that no word list knows, by the tests' author.
+ELSEWHERE = {
+    "pl": "Wczoraj wieczorem poszedłem z siostrą do starego kina na rogu ulicy. Film był długi, ale nikt się nie nudził, bo aktorzy grali znakomicie. Po seansie rozmawialiśmy jeszcze godzinę o tym, co zobaczyliśmy.",
+    "sv": "I går kväll gick jag till den gamla biografen vid hörnet tillsammans med min syster. Filmen var lång, men ingen blev uttråkad eftersom skådespelarna var mycket skickliga.",
+    "fi": "Eilen illalla menin siskoni kanssa vanhaan elokuvateatteriin kadun kulmassa. Elokuva oli pitkä, mutta kukaan ei pitkästynyt, koska näyttelijät olivat erinomaisia.",
+    "tr": "Dün akşam kız kardeşimle köşedeki eski sinemaya gittim. Film uzundu ama kimse sıkılmadı çünkü oyuncular çok iyiydi. Sonra gördüklerimiz hakkında bir saat daha konuştuk.",
+    "uk": "Учора ввечері я пішов із сестрою до старого кінотеатру на розі вулиці. Фільм був довгий, але ніхто не нудьгував, бо актори грали чудово.",
+    "cs": "Včera večer jsem šel se sestrou do starého kina na rohu ulice. Film byl dlouhý, ale nikdo se nenudil, protože herci hráli výborně.",
+    "hu": "Tegnap este a nővéremmel elmentünk a sarkon álló régi moziba. A film hosszú volt, de senki sem unatkozott, mert a színészek kitűnően játszottak.",
+    "vi": "Tối qua tôi cùng em gái đi xem phim ở rạp cũ góc phố. Bộ phim rất dài nhưng không ai thấy chán vì các diễn viên diễn rất hay.",
+}
+NOWHERE = {
+    "a phrase again and again": "the quick baker of our small town sells very good bread today. " * 30,
+    "paragraphs again and again": "It was the end of the long day for us all,\nand we went home by the river.\n\n" * 12,
+    "enumerated": "Jabłka, gruszki, śliwki, wiśnie, czereśnie, morele, brzoskwinie, banany.\nMleko, ser, masło, jajka, chleb, bułki, kiełbasa, szynka.",
+    "random letters": "Edvggokst fon wymyhd kljzhdqu lyzjkrbsscfh xlypoiv ah nvbieqib dmhoryz jubavzzyik.\nVgqepj jdh mtz dmucsfuqtaa hp dvivztfk tvbsm bgyfwau.",
+    "words": "Sosna kamień okno drzewo rzeka miasto książka lampa stół krzesło dywan obraz zegar półka",
+}
+
+
+def test_running_text_in_any_language():
+    running, prose, _, _ = quality.verdicts(quality.count([*ELSEWHERE.values(), *NOWHERE.values()]))
+    assert dict(zip([*ELSEWHERE, *NOWHERE], running.tolist())) == dict.fromkeys(ELSEWHERE, True) | dict.fromkeys(NOWHERE, False)
+    wrapped = "\n".join(ELSEWHERE["pl"][i : i + 70] for i in range(0, len(ELSEWHERE["pl"]), 70))
+    assert quality.verdicts(quality.count([wrapped]))[0][0] and quality.verdicts(quality.count(["", "x"]))[0].tolist() == [False, False]

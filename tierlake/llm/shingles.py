@@ -1,24 +1,16 @@
-"""Words and word triples of texts in bulk, and the lines that recur all over a corpus."""
+"""Words and word triples of texts in bulk."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tierlake.llm import vec
 from tierlake.llm.chars import DROP, composed, folds
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Counters of the sketch of line hashes: a fixed size, whatever the corpus. In SLICES rows, so that they add up side by side.
-SKETCH, SLICES = 1 << 18, 64
-
 
-def folded_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(folded letters and digits of all texts with 0 between words, places of the ends of texts, places of the ends of lines)."""
+def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(folded letters and digits of all texts with 0 between words, the places of the ends of texts)."""
     table, slow = folds()
     cp, ends = vec.points(texts)
     hard = np.unique(vec.owner(np.flatnonzero(slow[cp]), ends)).tolist()
@@ -29,18 +21,11 @@ def folded_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cp, ends = vec.points(texts)
     fold = table[cp]
     fold[ends] = 0
-    brk = cp == 10
-    brk[ends] = True
     keep = fold != DROP
     if not keep.all():
         ends = np.cumsum(keep)[ends] - 1
-        fold, brk = fold[keep], brk[keep]
-    return fold, ends, np.flatnonzero(brk)
-
-
-def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(folded letters and digits of all texts with 0 between words, the places of the ends of texts)."""
-    return folded_lines(texts)[:2]
+        fold = fold[keep]
+    return fold, ends
 
 
 def triples(fold: np.ndarray, ends: np.ndarray, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -69,67 +54,3 @@ def triple_sets(texts: list[str], size: int = 3) -> list[np.ndarray]:
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
     return np.split(h[first], np.searchsorted(text[first], np.arange(1, len(texts))))
-
-
-def line_places(fold: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the words of each line, its first place, its end); lines end at ``breaks``; lines without words are left out."""
-    starts = np.append(0, breaks[:-1] + 1)
-    inside = np.flatnonzero(fold != 0)
-    # words' letters with a 0 between words of a line, so that the parting of words counts
-    line = np.searchsorted(breaks, inside, "left")
-    gap = np.append(False, np.diff(inside) > 1)
-    value = fold[inside].astype(np.uint64) + np.where(gap, np.uint64(1 << 33), np.uint64(0))
-    first = np.flatnonzero(np.append(True, np.diff(line) > 0)) if len(line) else np.zeros(0, np.int64)
-    lines = line[first]
-    if len(first):
-        value[first] &= np.uint64((1 << 33) - 1)
-    return vec.run_hashes(value, first), starts[lines], breaks[lines]
-
-
-def common_lines(docs: DataFrame, share: float, least: int) -> tuple[np.ndarray, int]:
-    """(bit set over SKETCH buckets of line hashes that at least max(least, share of all rows) texts fall into, number of rows).
-
-    Each task counts its lines, one count a text, in SKETCH counters; the counters are added by slices and only the bits
-    (32 KB, whatever the corpus) reach the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, n = np.zeros(SKETCH, np.int64), 0
-        for _, texts in vec.rows(batches):
-            n += len(texts)
-            fold, ends, breaks = folded_lines(texts)
-            h, at, _ = line_places(fold, breaks)
-            bucket = (h % np.uint64(SKETCH)).astype(np.int64)
-            once = np.unique(bucket * len(texts) + vec.owner(at, ends)) // len(texts)
-            np.add.at(counters, once, 1)
-        parts = [c.astype(np.int64).tobytes() for c in np.split(counters, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * SLICES, pa.int64())], ["slice", "counters", "n"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SKETCH // SLICES, np.int64), 0
-        for b in batches:
-            for c, k in zip(b.column("counters").to_pylist(), b.column("n").to_pylist()):
-                total += np.frombuffer(c, np.int64)
-                n += k
-        bits = np.packbits(total >= max(least, share * n)).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary()), pa.array([n], pa.int64())], ["slice", "bits", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "slice int, counters binary, n bigint")
-    got = counted.groupBy("slice").applyInArrow(add, "slice int, bits binary, n bigint").orderBy("slice").collect()
-    if not got:
-        return np.zeros(SKETCH, bool), 0
-    return np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8)).astype(bool), got[0]["n"]
-
-
-def without_common(fold: np.ndarray, breaks: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """``fold`` with the words of common lines blanked."""
-    h, lo, hi = line_places(fold, breaks)
-    hit = common[(h % np.uint64(SKETCH)).astype(np.int64)]
-    if not hit.any():
-        return fold
-    step = np.zeros(len(fold) + 1, np.int8)
-    step[lo[hit]] += 1
-    step[hi[hit]] -= 1
-    out = fold.copy()
-    out[np.cumsum(step[:-1]) > 0] = 0
-    return out

@@ -1,12 +1,13 @@
 """Problem 3: one consistent form for texts that look the same but differ in their characters.
 
 Confusables skeleton: each text is decomposed, each character replaced by its prototype from the look-alike table
-(widths, kinds of spaces, invisible marks, letters of other scripts), composed again; texts are grouped by equal
+(widths, kinds of spaces, invisible marks, letters of other scripts), decomposed again; texts are grouped by equal
 skeleton, each skeleton by its 128-bit hash.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.llm import vec
-from tierlake.llm.chars import DROP, consistent, forms
+from tierlake.llm.chars import forms, skeleton
 from tierlake.plans.shared import cut
 
 #: Up to so many pairs between two classes of exact copies are listed in full; beyond, one member stands for its class.
@@ -24,29 +25,27 @@ FULL_PAIRS = 64
 
 
 def skeletons(texts: list[str]) -> list[np.ndarray]:
-    """The consistent form of each text, as code points."""
-    table, slow, _ = forms()
+    """The skeleton of each text, as code points, all texts at once; those whose marks stand out of order one by one."""
+    size, at, flat, rank = forms()
     cp, ends = vec.points(texts)
-    hard = np.unique(vec.owner(np.flatnonzero(slow[cp]), ends)).tolist()
-    if hard:
-        texts = list(texts)
-        for k in hard:
-            texts[k] = consistent(texts[k])
-        cp, ends = vec.points(texts)
-    form = table[cp]
-    form[ends] = 0
-    keep = form != DROP
-    if keep.all():
-        return np.split(form, ends + 1)[:-1]
-    return np.split(form[keep], np.cumsum(keep)[ends])[:-1]
+    n = size[cp]
+    upto = np.cumsum(n)
+    form = flat[np.repeat(at[cp] - (upto - n), n) + np.arange(int(upto[-1]))]
+    cuts = upto[ends]  # each text's NUL stays one character
+    out = np.split(form, cuts)[:-1]
+    r = rank[form]
+    wrong = np.flatnonzero((r[1:] > 0) & (r[:-1] > r[1:])) + 1
+    for k in np.unique(np.searchsorted(cuts, wrong, "right")).tolist():
+        out[k] = np.frombuffer((skeleton(texts[k]) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
 def forms_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, form string): the consistent form of each text; null stays null, empty stays empty."""
+    """(doc_id, form string): the consistent form of each text, its skeleton put together again; null stays null, empty stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in vec.rows(batches):
-            out = [f[:-1].tobytes().decode("utf-32-le", "surrogatepass") for f in skeletons(texts)]
+            out = [unicodedata.normalize("NFC", f[:-1].tobytes().decode("utf-32-le", "surrogatepass")) for f in skeletons(texts)]
             null = batch.column(1).is_null().to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if n else x for n, x in zip(null, out)], pa.string())], ["doc_id", "form"])
 
