@@ -71,6 +71,18 @@ def test_near_copies_that_are_a_third_of_all(spark, threshold, size):
     assert not got - want and len(got) >= 0.999 * len(want) and len(want) > len(family)
 
 
+@pytest.mark.parametrize(("n", "hot"), [(40, 256), (80, 256), (400, 20)])
+def test_documents_that_share_a_notice(spark, monkeypatch, n, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "SPLIT", 50)
+    rng = random.Random(n)
+    make = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    notice = make(60)
+    texts = [f"{make(15)}\n{notice}" for _ in range(n)]
+    got = {tuple(r) for r in neardup.near_pairs(table(spark, texts)).collect()}
+    assert got == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
 def test_links_of_different_texts_in_large_classes(spark):
     words = " ".join(WORDS[:30])
     looks = [words.replace("o", "о"), words.replace("a", "а"), words.replace("e", "е")]

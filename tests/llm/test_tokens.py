@@ -102,15 +102,42 @@ def test_containers(spark):
     assert packing.pack(frame.where("false")).count() == 0
 
 
-def test_local_search_raises_squares():
-    rng = random.Random(5)
-    for _ in range(30):
-        sizes = [rng.randrange(200, 1500) for _ in range(40)]
-        bins = [[k] for k in range(40)]
-        square = lambda bs: sum(sum(sizes[k] for k in b) ** 2 for b in bs)
-        before = square(bins)
-        after = packing.local_search([list(b) for b in bins], sizes, 2048)
-        assert sorted(k for b in after for k in b) == list(range(40)) and all(sum(sizes[k] for k in b) <= 2048 for b in after) and square(after) >= before and len(after) < 40
+def instances(rng, n):
+    """Sizes that best fit packs with room left: thirds of full bins, sizes between a fifth and a half, between a seventh and a half, and any."""
+    thirds = []
+    for _ in range(n // 3):
+        a = rng.randrange(512, 1024)
+        b = rng.randrange(512, min(1024, 2048 - a - 511))
+        thirds += [a, b, 2048 - a - b]
+    return {"thirds": thirds, "fifth": [rng.randrange(410, 1024) for _ in range(n)], "seventh": [rng.randrange(300, 920) for _ in range(n)], "any": [rng.randrange(1, 2049) for _ in range(n)], "equal": [700] * n, "small": [rng.randrange(1, 9) for _ in range(n)]}
+
+
+def test_local_search_saves_bins():
+    saved = {}
+    for kind, sizes in instances(random.Random(5), 600).items():
+        square = lambda bs: sum(sum(sizes[k] for k in b) ** 2 for b in bs)  # noqa: E731, B023
+        first = packing.best_fit(sizes, 2048)
+        for start in (first, [[k] for k in range(len(sizes))], [list(range(k, min(k + 2, len(sizes)))) for k in range(0, len(sizes), 2)] if max(sizes) <= 1024 else first):
+            after = packing.local_search([list(b) for b in start], sizes, 2048)
+            assert sorted(k for b in after for k in b) == list(range(len(sizes))) and all(sum(sizes[k] for k in b) <= 2048 for b in after)
+            assert square(after) >= square(start) and len(after) <= len(first), kind
+            shelf = packing._Shelf(after, sizes, 2048)
+            for i in range(len(after)):
+                if shelf.loose(i):
+                    shelf.put(i)
+            assert not any(shelf.best(i) for i in range(len(after)) if shelf.loose(i))
+            if start is first:
+                saved[kind] = len(first) - len(after)
+    assert saved["thirds"] > 15 and saved["fifth"] > 4 and saved["seventh"] > 3 and min(saved.values()) >= 0
+    assert packing.local_search([], [], 2048) == []
+
+
+def test_a_lexicon_doesnt_depend_on_partitions(spark):
+    rng = random.Random(3)
+    counts = spark.createDataFrame([(f"w{i}".encode(), min(5, 1 + int(rng.paretovariate(0.8)))) for i in range(3000)] + [(b"x" * 40, 99), (b"often", 70_000)], "word binary, n bigint")
+    got = [{bytes(r[0]) for r in encode.frequent_words(counts.repartition(k), 400).collect()} for k in (4, 64)]
+    assert got[0] == got[1] and b"often" in got[0] and b"x" * 40 not in got[0] and 320 < len(got[0]) < 480
+    assert encode.frequent_words(counts.where("false"), 400).count() == 0 and encode.frequent_words(counts, 5000).count() == counts.where("n > 1").count() - 1
 
 
 def test_split_documents(spark, right):

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from tierlake.llm import vec
 from tierlake.llm.chars import LETTER, NUMBER, OTHER, SPACE, classes
 from tierlake.llm.lexicon import Lexicon, build
-from tierlake.plans.shared import shared_file
+from tierlake.plans.shared import cut, shared_file
 
+#: The vocabulary's file, if the setting ``tierlake.vocabulary`` of the session names no other.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Most words in the lexicon, and most bytes of one; bound the driver's table and the file that executors map (under 8 MB).
-LEXICON_WORDS, LEXICON_BYTES = 60_000, 32
+#: Most words in the lexicon, and most bytes of one; bound the driver's table and the file that executors map (under 4 MB).
+LEXICON_WORDS, LEXICON_BYTES = 16_000, 32
 _END = 4
 #: Words held in a worker before their counts are handed on.
 _HELD = 100_000
@@ -148,10 +149,30 @@ def encode_texts(texts: list[str], lexicon: Lexicon, merge) -> tuple[np.ndarray,
     return ids.astype(np.int32), per, unseen
 
 
+def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
+    """(word): about ``most`` most frequent words of ``counts`` (word, n), the same however they are partitioned.
+
+    Words are counted by frequency first (frequencies of 256 and more by their eight highest bits, so in at most 8,000
+    classes); all words of the classes that fit are taken, and of the class that doesn't fit whole those whose hash is low enough
+    to fill the rest. So the words alone reach the driver, not each task's own best.
+    """
+    bits = F.greatest(F.length(F.bin("n")) - 8, F.lit(0))
+    rank = F.expr("shiftleft(shiftright(n, _bits), _bits)")
+    ranked = counts.where((F.col("n") > 1) & (F.length("word") <= LEXICON_BYTES)).withColumn("_bits", bits).withColumn("rank", rank)
+    classes = sorted(((r["rank"], r["words"]) for r in ranked.groupBy("rank").agg(F.count("*").alias("words")).collect()), reverse=True)
+    room, least, share = most, 1 << 62, 0.0
+    for n, words in classes:
+        if words > room:
+            least, share = n, room / words
+            break
+        room, least = room - words, n - 1
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
+    return ranked.where((F.col("rank") > least) | ((F.col("rank") == least) & (place < share))).select("word")
+
+
 def compile_lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> str:
     """Counts the words of all texts and compiles the ``most`` frequent into a transducer; the name of the file that executors get."""
-    top = word_counts(docs).where((F.col("n") > 1) & (F.length("word") <= LEXICON_BYTES)).orderBy(F.desc("n"), "word").limit(most)
-    words = sorted(bytes(r[0]) for r in top.select("word").collect())
+    words = sorted(bytes(r[0]) for r in frequent_words(cut(word_counts(docs)), most).collect())
     merge = _merger(vocabulary)
     return shared_file(docs.sparkSession, "lexicon", build(words, [tuple(merge(w)) for w in words]))
 
@@ -163,6 +184,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, lexicon: str | None =
     A null and an empty text give an empty list. Repeated rows give repeated results; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
+    vocabulary = docs.sparkSession.conf.get("tierlake.vocabulary", vocabulary)
     sc.addFile(vocabulary)
     ranks = Path(vocabulary).name
     name = lexicon or compile_lexicon(docs, vocabulary)

@@ -8,7 +8,8 @@ pairs that meet anywhere are checked exactly on their runs of words.
 
 Skew: texts of one consistent form are joined as one class first. Signatures are of whole texts, lines that many texts
 share included, so that families of edited copies meet however large they are. Texts that have little but a site's
-notices in common meet by chance too; the signatures of those that meet are compared before their texts are.
+notices in common meet by chance too; the signatures of those that meet are compared before their texts are. Keys of many
+texts are dealt into parts, and the signatures of two parts compared at a time, before any pair is written.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ CHUNKS, WIDTH, ERRORS = 20, 4, 1
 EQUAL = 20
 #: Pairs that a task holds at once.
 BLOCK = 1 << 20
+#: Classes of a key from which on it is dealt into parts, and about how many classes a part has.
+HOT, SPLIT = 256, 512
 
 _K = CHUNKS * WIDTH
 _XOR = (vec.mix(np.arange(1, _K + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -84,9 +87,9 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").where("text <> ''").mapInArrow(run, "class bigint, signature binary").dropDuplicates(["class"])
 
 
-def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+    return np.zeros((0, 1), kind) if not rows else np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
 def entries(marks: DataFrame) -> DataFrame:
@@ -123,48 +126,100 @@ def alike(met: DataFrame, marks: DataFrame) -> DataFrame:
     return met.select("a", "b", "short_a", "short_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def meeting(index: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes that have a key in common.
+def meeting(index: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes that have a key in common and signatures with EQUAL equal symbols or more.
 
-    All entries of a key are in one partition; its pairs leave in blocks of BLOCK, so a key of many texts takes time, not
-    memory. Such keys are left by many texts that are near-duplicates of each other, whose pairs the result lists anyway.
+    Entries come sorted by key and are paired key by key, so a task holds a batch and one key. A key of more than HOT classes
+    isn't paired there; see ``hot_pairs``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-        if not held:
-            return
-        key, doc = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        left = np.arange(len(key))
-        edge = np.searchsorted(key, key, "right")
-        packed: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(packed), axis=0)
-            packed.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        step = 1
+    def pairs_of(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
+        left, edge, step = np.arange(len(key)), np.searchsorted(key, key, "right"), 1
         while len(left):
             left = left[left + step < edge[left]]
             for lo in range(0, len(left), BLOCK):
                 part = left[lo : lo + BLOCK]
-                a, b = doc[part], doc[part + step]
-                real = a != b
-                packed.append(np.stack([a[real], b[real]], 1))
-                size += len(part)
-                if size >= BLOCK:
-                    yield out()
-                    size = 0
+                both = np.stack([doc[part], doc[part + step]], 1)
+                both.sort(1)
+                yield both[both[:, 0] != both[:, 1]]
             step += 1
+
+    def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        nulls = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([nulls if key is None else pa.array(key), pa.array(a), nulls if b is None else pa.array(b)], ["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        spilling: int | None = None  # the hot key whose entries are handed on as they come
+        packed: list[np.ndarray] = []
+        size = 0
+        for batch in (*batches, None):
+            if batch is not None:
+                key, doc = np.append(key, np.asarray(batch.column(0))), np.append(doc, np.asarray(batch.column(1)))
+            if spilling is not None:
+                n = int(np.searchsorted(key, spilling, "right"))
+                yield rows(key[:n], doc[:n], None)
+                spilling = spilling if n == len(key) else None
+                key, doc = key[n:], doc[n:]
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if batch is None:
+                last = len(key)
+            elif len(key) - last > HOT:
+                spilling, last = int(key[-1]), len(key)
+            done, mine = key[:last], doc[:last]
+            key, doc = key[last:], doc[last:]
+            count = np.searchsorted(done, done, "right") - np.searchsorted(done, done)
+            hot = count > HOT
+            if hot.any():
+                yield rows(done[hot], mine[hot], None)
+                done, mine = done[~hot], mine[~hot]
+            for both in pairs_of(done, mine):
+                packed.append(both)
+                size += len(both)
+                if size >= BLOCK:
+                    out = np.unique(np.concatenate(packed), axis=0)
+                    packed, size = [], 0
+                    yield rows(None, out[:, 0], out[:, 1])
         if packed:
-            yield out()
+            out = np.unique(np.concatenate(packed), axis=0)
+            yield rows(None, out[:, 0], out[:, 1])
 
-    return index.select("key", "class").repartition("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    sorted_ = index.select("key", "class").repartition("key").sortWithinPartitions("key")
+    met = cut(sorted_.mapInArrow(run, "key bigint, a bigint, b bigint").distinct())
+    near = alike(met.where("key is null").select("a", "b").distinct(), marks)
+    hot = met.where("key is not null").select("key", F.col("a").alias("class"))
+    return near.union(hot_pairs(hot, marks)).distinct() if hot.head(1) else near
+
+
+def hot_pairs(hot: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs within the keys of ``hot`` (key, class) whose signatures have EQUAL equal symbols or more.
+
+    The classes of a key are dealt into parts of about SPLIT, and each pair of parts is one group: no group grows with the key,
+    and only pairs that pass the comparison leave it.
+    """
+    parts = F.ceil(F.col("n") / SPLIT)
+    sizes = hot.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = hot.join(sizes, "key").join(marks.select("class", "signature"), "class").withColumn("part", F.pmod(F.xxhash64("class"), parts))
+    each = dealt.select("key", "class", "signature", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("other"))
+    grouped = each.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "class", "signature")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        name, part, sig = np.asarray(held.column("class")), np.asarray(held.column("part")), _unpacked(held.column("signature"), np.uint16)
+        left, right = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
+        out = []
+        for lo in range(0, len(left), 64):
+            rows = left[lo : lo + 64]
+            i, j = np.nonzero((sig[rows][:, None, :] == sig[right][None]).sum(2, dtype=np.uint8) >= EQUAL)
+            out.append(np.stack([name[rows[i]], name[right[j]]], 1))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        both.sort(1)
+        both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return grouped.groupBy("key", "lo", "hi").applyInArrow(run, "a bigint, b bigint")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -198,7 +253,7 @@ def links(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> tuple[DataF
     members = cut(unify.hashed(docs).select("doc_id", F.col("form_a").alias("class"), "exact").distinct())
     classes = members.groupBy("class").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("copies"))
     marks = cut(signed(docs, size))
-    met = alike(meeting(entries(marks)), marks)
+    met = meeting(entries(marks), marks)
     for side in "ab":
         met = met.join(classes.select(F.col("class").alias(side), F.col("head").alias(f"head_{side}"), F.col("copies").alias(f"n_{side}")), side).withColumnRenamed(side, f"class_{side}")
     met = cut(met)
@@ -239,14 +294,14 @@ def groups(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     return out.select("doc_id", F.coalesce("label", "head").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def components(edges: DataFrame, most_turns: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the connected component of each node of ``edges`` (a, b).
 
     Alternating large and small stars: each turn ties every node's larger neighbours to the smallest one and cuts the
     lineage, until nothing changes. Nothing but counts reaches the driver.
     """
     star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(most_turns):
+    while True:
         both = star.union(star.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star).where("a <> b").distinct()

@@ -2,15 +2,17 @@
 
 Documents are dealt into blocks of bounded size by a hash of their id. Each block is filled best-fit by falling size;
 then bins that aren't full exchange documents one for one, two for one, or move one, whenever that raises the sum of
-squared fills, until the emptiest bins are emptied. What stays in bins with room goes into the next round's fewer
-blocks, so the remainder of all blocks is packed together in the end.
+squared fills, until no exchange among any of them does; bins that get empty are gone. What stays in bins with room goes
+into the next round's fewer blocks, until one block holds all that is left or rounds fill hardly any bins more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
+from itertools import count
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +21,10 @@ from tierlake.llm.encode import VOCABULARY, encode
 from tierlake.plans.shared import cut
 
 CAPACITY = 2048
-#: Most items that a task packs, so that its memory and time are bounded; rounds of packing what is left.
-BLOCK, PASSES = 50_000, 3
-#: Bins with less room than this share of the capacity count as full.
-ROOM = 0.002
-#: Bins that one bin tries for an exchange, fullest first.
-TRIES = 24
-#: The search ends after so many emptiest bins in turn that no exchange helped; bins of more than MANY documents take no part.
-IDLE, MANY = 200, 64
+#: About so many items a task packs, so that its memory and time are bounded.
+BLOCK = 10_000
+#: Bins with less room than this share of the capacity aren't unpacked again; what is unpacked is dealt anew while it falls below this share of what was dealt before.
+ROOM, SHRINKS = 0.002, 0.9
 
 
 def pieces(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -59,54 +57,130 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(a: list[int], b: list[int], room: int, gain_from: int, sizes: list[int]) -> tuple[list[int], list[int]] | None:
-    """Documents of the emptier bin b to put into a, and of a to give back: the exchange that fills a's room most."""
-    best, found = gain_from, None
-    for x in b:
-        if best < sizes[x] <= room:
-            best, found = sizes[x], ([x], [])
-    give = sorted(a, key=lambda k: sizes[k])
-    pairs = [(sizes[x] + sizes[y], [x, y]) for i, x in enumerate(b) for y in b[i + 1 :]]
-    for y in give:
-        for x in b:
-            if best < sizes[x] - sizes[y] <= room:
-                best, found = sizes[x] - sizes[y], ([x], [y])
-        for two, xs in pairs:
-            if best < two - sizes[y] <= room:
-                best, found = two - sizes[y], (xs, [y])
-        if best == room:
-            break
-    return found
+class _Shelf:
+    """The bins that aren't full, and where among them documents and pairs of documents of a size are."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.capacity, self.sizes = capacity, sizes
+        self.held: list[dict[int, list[int]]] = []
+        self.fill: list[int] = []
+        for b in bins:
+            held: dict[int, list[int]] = {}
+            for k in b:
+                held.setdefault(sizes[k], []).append(k)
+            self.held.append(held)
+            self.fill.append(sum(sizes[k] for k in b))
+        # by size: bins that have it; the sizes that some bin has as the bits of one number. One document, and two of one bin.
+        self.where: tuple[list[set[int]], list[set[int]]] = ([set() for _ in range(capacity + 1)], [set() for _ in range(capacity + 1)])
+        self.bits = [0, 0]
+
+    def loose(self, i: int) -> bool:
+        return 0 < self.fill[i] < self.capacity
+
+    def _sums(self, i: int) -> tuple[list[int], list[int]]:
+        one = sorted(self.held[i])
+        two = {x + y for k, x in enumerate(one) for y in one[k + (len(self.held[i][x]) < 2) :] if x + y <= self.capacity}
+        return one, list(two)
+
+    def put(self, i: int) -> None:
+        for kind, found in enumerate(self._sums(i)):
+            for s in found:
+                self.where[kind][s].add(i)
+                self.bits[kind] |= 1 << s
+
+    def take(self, i: int) -> None:
+        for kind, found in enumerate(self._sums(i)):
+            for s in found:
+                self.where[kind][s].discard(i)
+                if not self.where[kind][s]:
+                    self.bits[kind] &= ~(1 << s)
+
+    def _pairs(self, i: int, size: int) -> tuple[int, ...]:
+        held = self.held[i]
+        return next((x, size - x) for x in sorted(held) if size - x in held and (2 * x != size or len(held[x]) > 1))
+
+    def donor(self, kind: int, most: int, above: int, i: int) -> tuple[int, int] | None:
+        """(size, bin) of the largest document (or pair) of another bin of at most ``most`` and more than ``above`` whose move raises the sum of squares."""
+        seen = self.bits[kind] & ((1 << most + 1) - 1)
+        while seen:
+            size = seen.bit_length() - 1
+            gain = size - above
+            if gain <= 0:
+                return None
+            for j in self.where[kind][size]:
+                if j != i and self.fill[j] - self.fill[i] < gain:
+                    return size, j
+            seen &= ~(1 << size)
+        return None
+
+    def best(self, i: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """(gain, donor, sizes to take in, sizes to give) of the exchange that fills the room of bin i most: a document moves in, or one comes for one, two for one, or one for two."""
+        room, found, most = self.capacity - self.fill[i], None, 0
+        one, two = self._sums(i)
+        for give, kinds in [((), (0, 1)), *(((x,), (0, 1)) for x in one), *((None if x in one else x, (0,)) for x in two)]:
+            if give is None:
+                continue
+            out = give if isinstance(give, int) else sum(give)
+            for kind in kinds:
+                got = self.donor(kind, min(self.capacity, out + room), out + most, i)
+                if got:
+                    size, j = got
+                    most = size - out
+                    found = (most, j, (size,) if kind == 0 else self._pairs(j, size), self._pairs(i, give) if isinstance(give, int) else give)
+                    if most == room:
+                        return found
+        return found
+
+    def exchange(self, i: int, j: int, come: tuple[int, ...], go: tuple[int, ...]) -> None:
+        self.take(i), self.take(j)
+        for a, b, moved in ((j, i, come), (i, j, go)):
+            for s in moved:
+                k = self.held[a][s].pop()
+                if not self.held[a][s]:
+                    del self.held[a][s]
+                self.held[b].setdefault(s, []).append(k)
+        gain = sum(come) - sum(go)
+        self.fill[i] += gain
+        self.fill[j] -= gain
+        for x in (i, j):
+            if self.loose(x):
+                self.put(x)
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins after exchanges that raise the sum of squared fills: fuller bins take from the emptiest, until it is empty or nothing helps."""
-    fill = [sum(sizes[k] for k in b) for b in bins]
-    least_room = max(1, int(ROOM * capacity))
-    loose = sorted((i for i in range(len(bins)) if capacity - fill[i] >= least_room and len(bins[i]) <= MANY), key=lambda i: -fill[i])
-    idle = 0
-    while len(loose) > 1 and idle < IDLE:
-        low = loose.pop()
-        helped, changed = False, True
-        while changed and bins[low]:
-            changed = False
-            for i in loose[:TRIES]:
-                room = capacity - fill[i]
-                if room < least_room or not bins[low]:
-                    continue
-                # what moves up must leave the receiver fuller than the giver was, else squares fall
-                swap = _better(bins[i], bins[low], room, max(0, fill[low] - fill[i]), sizes)
-                if swap:
-                    up, down = swap
-                    bins[i] = [k for k in bins[i] if k not in down] + up
-                    bins[low] = [k for k in bins[low] if k not in up] + down
-                    moved = sum(sizes[k] for k in up) - sum(sizes[k] for k in down)
-                    fill[i] += moved
-                    fill[low] -= moved
-                    helped = changed = True
-        idle = 0 if helped else idle + 1
-        loose[:TRIES] = sorted((i for i in loose[:TRIES] if capacity - fill[i] >= least_room), key=lambda i: -fill[i])
-    return [b for b in bins if b]
+    """Bins after exchanges that raise the sum of squared fills, until none does; bins that get empty are gone.
+
+    The fullest bin that isn't full takes the exchange with any other such bin that fills its room most. Each exchange raises
+    the sum, which is a bounded integer, so the search ends by itself.
+    """
+    shelf = _Shelf(bins, sizes, capacity)
+    todo = [(-shelf.fill[i], i) for i in range(len(bins)) if shelf.loose(i)]
+    for _, i in todo:
+        shelf.put(i)
+    heapify(todo)
+    stuck: set[int] = set()  # bins without an exchange; all are asked again in the end until none has one
+    changed = False
+    while todo or changed:
+        if not todo:
+            todo = [(-shelf.fill[i], i) for i in stuck if shelf.loose(i)]
+            heapify(todo)
+            stuck, changed = set(), False
+            continue
+        at, i = heappop(todo)
+        if -at != shelf.fill[i] or not shelf.loose(i):
+            continue
+        found = shelf.best(i)
+        if found is None:
+            stuck.add(i)
+            continue
+        _, j, come, go = found
+        shelf.exchange(i, j, come, go)
+        changed = True
+        stuck.discard(j)
+        for x in (i, j):
+            if shelf.loose(x):
+                heappush(todo, (-shelf.fill[x], x))
+    return [[k for held in h.values() for k in held] for h in shelf.held if h]
 
 
 def pack_block(ids: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
@@ -142,21 +216,17 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     """
     todo = cut(pieces(sizes, capacity))
     n = todo.count()
-    done = None
-    for turn in range(PASSES):
+    done: list[DataFrame] = []
+    for turn in count():
         blocks = max(1, -(-n // block))
-        last = turn == PASSES - 1 or blocks == 1
-
         dealt = todo.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(blocks)).cast("int"))
         packed = cut(dealt.groupBy("block").applyInArrow(_filler(turn, capacity), PACKED))
-        if last:
-            return packed if done is None else done.union(packed)
         loose = F.col("fill") < capacity * (1 - ROOM)
-        full = packed.where(~loose)
-        done = full if done is None else done.union(full)
-        todo = packed.where(loose).select("doc_id", "piece", "size")
-        n = todo.count()
-    return done
+        left = packed.where(loose).count() if blocks > 1 else 0
+        if blocks == 1 or not left or left > SHRINKS * n:
+            return reduce(DataFrame.union, [*done, packed])
+        done.append(packed.where(~loose))
+        todo, n = packed.where(loose).select("doc_id", "piece", "size"), left
 
 
 def containers(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:

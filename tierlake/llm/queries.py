@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_segments": lambda s, d: language.segments(_docs(s, d), _codes(s, d)),
         "p5_documents": lambda s, d: language.every_document(_docs(s, d), _codes(s, d)),
         "p7_found": lambda s, d: neardup.near_pairs(_docs(s, d)),
-        "p7_groups": lambda s, d: neardup.groups(_docs(s, d)),
+        "p7_groups": lambda s, d: neardup.groups(_docs(s, d), 0.5, 3),
         "p8_ids": lambda s, d: encode.encode(_docs(s, d)),
         "p8_counts": lambda s, d: encode.encode(_docs(s, d), ids=False),
         "p9_found": lambda s, d: packing.split_documents(_docs(s, d)),

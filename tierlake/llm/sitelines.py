@@ -67,31 +67,32 @@ def sequences(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def prefixspan(seqs: DataFrame, needs: DataFrame, longest: int | None = None) -> DataFrame:
     """(source, pattern array<bigint>, support): sequences of frequent lines, gaps allowed, that stand in enough documents.
 
-    Those that no line makes longer at the same support; every other frequent sequence is part of one of these with its
+    Those that no line after them makes longer at the same support; every other frequent sequence is part of one of these with its
     support. Each level holds, for each document and frequent pattern, the earliest place where the pattern is complete and
-    the lines between that and the place before; the lines after it extend the pattern, until none is frequent (or up to
-    ``longest`` lines).
+    the lines between that and the place before; the lines after it extend the pattern, until none is frequent. With
+    ``longest`` all frequent sequences of up to so many lines, given up for nothing. Documents of a source with equal sequences are one row with their number.
     """
-    at = seqs.select("source", F.expr("transform(seq, y -> y.line)").alias("ids"), F.lit(0).alias("done"), F.expr("cast(array() as array<bigint>)").alias("pattern"))
+    at = seqs.groupBy("source", F.expr("transform(seq, y -> y.line)").alias("ids")).agg(F.count("*").alias("docs")).withColumn("done", F.lit(0)).withColumn("pattern", F.expr("cast(array() as array<bigint>)"))
     levels: list[DataFrame] = []
+    closed = longest is None
     for level in count(1):
         if longest is not None and level > longest:
             break
         rest = "slice(ids, done + 1, size(ids))"
-        grown = at.select("source", "ids", "done", "pattern", F.explode(F.expr(f"array_distinct({rest})")).alias("line")).withColumn("step", F.expr(f"cast(array_position({rest}, line) as int)"))
-        grown = grown.select("source", "ids", F.expr("array_distinct(slice(ids, done + 1, step - 1))").alias("gap"), F.expr("done + step").alias("done"), F.expr("concat(pattern, array(line))").alias("pattern"))
-        often = grown.groupBy("source", "pattern").agg(F.count("*").alias("support")).join(needs, "source").where("support >= needed").drop("needed")
-        often, n = sized(often)
+        grown = at.select("source", "ids", "docs", "done", "pattern", F.explode(F.expr(f"array_distinct({rest})")).alias("line")).withColumn("step", F.expr(f"cast(array_position({rest}, line) as int)"))
+        grown = grown.select("source", "ids", "docs", F.expr("array_distinct(slice(ids, done + 1, step - 1))").alias("gap"), F.expr("done + step").alias("done"), F.expr("concat(pattern, array(line))").alias("pattern"))
+        # documents of each pattern, and of each line in its last gap; a line in that gap of all leads to a sequence that has all that this one leads to
+        beside = grown.select("source", "pattern", "docs", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "gap") if closed else F.array(F.lit(None).cast("bigint"))).alias("line")).groupBy("source", "pattern", "line").agg(F.sum("docs").alias("n"))
+        told = beside.groupBy("source", "pattern").agg(F.max(F.when(F.col("line").isNull(), F.col("n"))).alias("support"), F.max(F.when(F.col("line").isNotNull(), F.col("n"))).alias("around"))
+        live, n = sized(told.join(needs, "source").where("support >= needed and (around is null or around < support)").select("source", "pattern", "support"))
         if not n:
             break
-        here = cut(grown.join(often, ["source", "pattern"]))
-        # a line within the last gap of all documents: the sequence with it has all that this one leads to
-        around = here.select("source", "pattern", "support", F.explode("gap").alias("line")).groupBy("source", "pattern", "support", "line").agg(F.count("*").alias("n")).where("n = support").select("source", "pattern").distinct()
-        live = sized(often.join(around, ["source", "pattern"], "left_anti"))[0]
         levels.append(live)
-        at = here.drop("gap", "support").join(live.select("source", "pattern"), ["source", "pattern"], "left_semi")
+        at = cut(grown.drop("gap").join(live.select("source", "pattern"), ["source", "pattern"], "left_semi"))
     if not levels:
         return needs.sparkSession.createDataFrame([], "source string, pattern array<bigint>, support bigint")
+    if not closed:
+        return reduce(DataFrame.union, levels)
     longer = [x.select("source", F.expr("slice(pattern, 1, size(pattern) - 1)").alias("pattern"), "support").distinct() for x in levels[1:]]
     return reduce(DataFrame.union, [x.join(y, ["source", "pattern", "support"], "left_anti") if y is not None else x for x, y in zip(levels, [*longer, None])]).select("source", "pattern", "support")
 
@@ -120,12 +121,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.select("doc_id", F.explode(F.expr("filter(seq, y -> array_contains(_site, y.line))")).alias("y")).select("doc_id", "y.line_no")
 
 
-def without_site_lines(docs: DataFrame, text: str = "text", blank: bool = False) -> DataFrame:
+def without_site_lines(docs: DataFrame, text: str = "text", blank: bool = False, longest: int | None = None) -> DataFrame:
     """``docs`` with the lines of its source's frequent sequences taken out of each text; null texts and other columns stay.
 
-    ``blank`` leaves an empty line for each, so that the others keep their numbers.
+    ``blank`` leaves an empty line for each, so that the others keep their numbers. ``longest`` ends the mining early, which
+    changes nothing here: the first level holds a sequence for every line of longer ones.
     """
-    patterns, _ = mined(docs.select("doc_id", "source", "text"))
+    patterns, _ = mined(docs.select("doc_id", "source", "text"), longest=longest)
     kept = f"transform({_LINES}, x -> if(array_contains(_site, xxhash64({_TRIM})), '', x))" if blank else f"filter({_LINES}, x -> not array_contains(_site, xxhash64({_TRIM})))"
     return with_site(docs, parts(patterns), "left").withColumn(text, F.expr(f"if(_site is null or text is null, text, array_join({kept}, '\n'))")).drop("_site")
 
@@ -136,4 +138,4 @@ def own_text(docs: DataFrame) -> DataFrame:
     Copies of one text that make up SHARE of their source have no lines but site lines. Lines keep their numbers.
     """
     chars = lambda c: F.length(F.translate(c, " \t\r\n", ""))
-    return without_site_lines(docs, "own", blank=True).withColumn("own", F.when(chars("own") < LITTLE * chars("text"), F.col("text")).otherwise(F.col("own")))
+    return without_site_lines(docs, "own", blank=True, longest=1).withColumn("own", F.when(chars("own") < LITTLE * chars("text"), F.col("text")).otherwise(F.col("own")))
