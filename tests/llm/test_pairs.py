@@ -38,13 +38,14 @@ def near(texts, threshold, size):
         return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
     sets = [grams(t) if t and t.strip() else None for t in texts]
+    forms = [consistent(t or "") for t in texts]
     out = set()
     for a in range(len(texts)):
         for b in range(a + 1, len(texts)):
             x, y = sets[a], sets[b]
             if x is None or y is None:
                 continue
-            if consistent(texts[a]) == consistent(texts[b]) or (x and y and len(x & y) >= threshold * len(x | y)):
+            if forms[a] == forms[b] or (x and y and len(x & y) >= threshold * len(x | y)):
                 out.add((a, b))
     return out
 

@@ -93,6 +93,7 @@ def _seen(ch: str) -> str:
     return LOOKALIKES.get(ch) or "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFD", _plain(ch)))
 
 
+@lru_cache(1 << 16)
 def _prototype(ch: str) -> str:
     """What ``ch`` becomes in a skeleton: decomposed, each character replaced by its prototype, decomposed again."""
     return unicodedata.normalize("NFD", "".join(map(_seen, unicodedata.normalize("NFD", ch))))
