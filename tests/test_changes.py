@@ -24,3 +24,17 @@ def test_add_docs_adds_every_layer_that_has_units(spark, small):
     want = new.where("op = 'add' and layer in ('text', 'pos', 'lemma', '_notes')").select("upd_id").distinct().count()
     got = queries.queries()["add_docs"](spark, small)
     assert got.count() == docs.count() + want and got.where("pos is not null and text is null").count() > 0
+
+
+def test_update_doc_tells_copies_with_one_id_apart(spark, tmp_path):
+    """Copies beyond the prefixes of a code share its whole code as id; a change of one is none of the others."""
+    n = 60
+    docs = [(i, None, "en", "x", 0, None, 1) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, url string, corpus_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, corpus_id int, layer string, ord int, unit_from int, unit_to int, datum string, link_to int, annotator_id int").write.parquet(f"{tmp_path}/annotations.parquet")
+    at = datetime(2026, 1, 1)
+    made = [(i, i, 1, "update", "pos", at, at, f'["T{i}"]') for i in range(0, n, 2)]
+    spark.createDataFrame(made, "upd_id bigint, doc_id bigint, corpus_id int, op string, layer string, occurred_at timestamp, received_at timestamp, payload string").write.parquet(f"{tmp_path}/doc_updates.parquet")
+    rows = queries.queries()["update_doc"](spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r["pos"] for r in rows}
+    assert len(rows) == n and got == {i: None if i % 2 else f"T{i}" for i in range(n)}

@@ -81,7 +81,7 @@ def assign(docs: DataFrame, catalog: Catalog, existing: DataFrame | None = None)
 
     rows = ranked.where("not _plain").select("_head", F.col("doc_pos").cast("bigint").alias("doc_pos"), "_code", F.lit(False).alias("_old"))
     if old is not None:
-        rows = rows.union(old.join(rows.select("_head").distinct(), "_head", "left_semi").select("_head", F.lit(-1).cast("bigint"), "_code", F.lit(True)))
+        rows = rows.union(old.join(rows.select("_head").distinct(), "_head", "left_semi").distinct().select("_head", F.lit(-1).cast("bigint"), "_code", F.lit(True)))
     folded = rows.groupBy("_head").applyInPandas(fold, "doc_pos bigint, _id string")
     longer, _ = sized(simple.union(whole).union(folded))
     settled = coded.drop("doc_id").join(longer, "doc_pos", "left")

@@ -16,18 +16,21 @@ def add(docs: DataFrame, new: DataFrame, catalog: Catalog) -> DataFrame:
     return docs.unionByName(ids.assign(placed, catalog, docs.select("doc_id")), allowMissingColumns=True)
 
 
-def update(docs: DataFrame, patch: DataFrame, catalog: Catalog) -> DataFrame:
+def update(docs: DataFrame, patch: DataFrame, catalog: Catalog, by: str = "doc_id") -> DataFrame:
     """``docs`` with the layers of ``patch`` (doc_id and some layers; null leaves a layer as it is); places stay.
 
+    ``by`` is the column of both by which documents are told. Copies of a text whose prefixes are all taken share its whole code as
+    doc_id; where there may be so many, ``by`` is doc_pos.
+
     Each changed document takes the shortest id that is free of all documents that aren't changed, its own old id included.
-    Ids of ``patch`` that no document has change nothing.
+    Rows of ``patch`` that no document has change nothing.
     """
     names = [c for c in patch.columns if c in catalog]
-    fresh = patch.select("doc_id", *[F.col(n).alias(f"_new_{n}") for n in names])
-    touched = docs.join(fresh, "doc_id")
+    fresh = patch.select(by, *[F.col(n).alias(f"_new_{n}") for n in names])
+    touched = docs.join(fresh, by)
     for n in names:
         touched = touched.withColumn(n, F.coalesce(f"_new_{n}", n)).drop(f"_new_{n}")
-    kept = docs.join(patch.select("doc_id"), "doc_id", "left_anti")
+    kept = docs.join(patch.select(by), by, "left_anti").select(*docs.columns)
     return kept.unionByName(ids.assign(touched, catalog, kept.select("doc_id")))
 
 

@@ -135,11 +135,11 @@ def _updated(s: SparkSession, d: str) -> DataFrame:
     """The documents with the layers of ``_changes`` put in; ids follow the new texts."""
     docs = cut(_named(s, d))
     raw = _changes(_UPDATES(s, d)).withColumnRenamed("doc_id", "key")
-    keyed = docs.select("doc_id", F.col("doc_pos").cast("string").alias("key"))
-    patch = cut(raw.join(keyed, "key").select("doc_id", F.expr("get_json_object(concat('[', text, ']'), '$[0]')").alias("text"), _seq_units("pos").alias("pos"), _seq_units("lemma").alias("lemma"), "_notes"))
-    noted = docs.join(patch.select("doc_id", "_notes"), "doc_id", "left")
+    keyed = docs.select("doc_pos", F.col("doc_pos").cast("string").alias("key"))
+    patch = cut(raw.join(keyed, "key").select("doc_pos", F.expr("get_json_object(concat('[', text, ']'), '$[0]')").alias("text"), _seq_units("pos").alias("pos"), _seq_units("lemma").alias("lemma"), "_notes"))
+    noted = docs.join(patch.select("doc_pos", "_notes"), "doc_pos", "left")
     noted = noted.withColumn("_extra", F.when(F.col("_notes").isNull(), F.col("_extra")).otherwise(F.map_concat(F.map_filter("_extra", lambda k, _: k != "_notes"), F.create_map(F.lit("_notes"), F.col("_notes"))))).drop("_notes")
-    new = mutate.update(noted, patch.drop("_notes"), CATALOG)
+    new = mutate.update(noted, patch.drop("_notes"), CATALOG, "doc_pos")
     return new.select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"), *_changed(new))
 
 
