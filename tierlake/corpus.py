@@ -83,8 +83,7 @@ class Corpus:
 
             binary.write_file(self.docs, self.catalog, path)
         else:
-            with open(path, "w", encoding="utf-8") as out:
-                (files.write_json if kind == "json" else files.write_yaml)(self.docs, self.catalog, out)
+            (files.write_json_file if kind == "json" else files.write_yaml_file)(self.docs, self.catalog, path)
 
     def to_json(self, out: Any) -> None:
         files.write_json(self.docs, self.catalog, out)

@@ -273,8 +273,11 @@ def _commands(s: SparkSession, d: str) -> DataFrame:
     path = _local(s, "cli")
     Corpus(s, _LOOSE, _loose(s, d)).write(f"{path}/a.json")
     cli.main(["load", f"{path}/a.json", f"{path}/store"])
+    os.remove(f"{path}/a.json")
     cli.main(["convert", f"{path}/store", f"{path}/b.cuac"])
+    shutil.rmtree(f"{path}/store")
     cli.main(["convert", f"{path}/b.cuac", f"{path}/c.json"])
+    os.remove(f"{path}/b.cuac")
     return _contents(Corpus.read(s, f"{path}/c.json").docs)
 
 

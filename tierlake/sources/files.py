@@ -7,22 +7,28 @@ ids are made from their content, and must agree with the file's as far as both g
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import os
+import re
+import shutil
+import tempfile
 import urllib.request
-from collections.abc import Iterable, Iterator, Mapping
-from typing import Any
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any, TextIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tierlake.document import to_json
 from tierlake.errors import FormatError
 from tierlake.meta import Catalog, LayerType
 from tierlake.operators import ids
-from tierlake.plans.shared import cut, numbered
+from tierlake.plans.shared import numbered, stored
 from tierlake.sources import ingest
+from tierlake.sources.spool import Spool, copy, written
 
 # The format of each suffix; others are YAML.
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".cuac": "binary", ".tcf": "binary"}
@@ -40,8 +46,8 @@ def guess_format(path: str) -> str:
     return SUFFIXES.get(os.path.splitext(name)[1].lower(), "yaml")
 
 
-def yaml_value(text: str) -> Any:
-    """The value of a YAML text; dates and the like stay text."""
+def _yaml(text: str, read: Callable[[Any, Any], Any]) -> Any:
+    """What ``read`` makes of the package yaml and a loader over a text; dates and the like stay text."""
     try:
         import yaml
     except ImportError:
@@ -50,14 +56,39 @@ def yaml_value(text: str) -> Any:
     class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         def construct_mapping(self, node, deep=False):
             # keys are names and ids: text as it stands, also where it looks like a number
-            return {k.value if isinstance(k, yaml.ScalarNode) else self.construct_object(k, True): self.construct_object(v, True) for k, v in node.value}
+            return dict(self.pairs(node))
+
+        def pairs(self, node):
+            return [(k.value if isinstance(k, yaml.ScalarNode) else self.construct_object(k, True), self.construct_object(v, True)) for k, v in node.value]
 
     Loader.add_constructor("tag:yaml.org,2002:map", lambda loader, node: loader.construct_mapping(node, True))
     Loader.yaml_implicit_resolvers = {k: [(tag, x) for tag, x in v if not tag.endswith((":timestamp", ":merge"))] for k, v in Loader.yaml_implicit_resolvers.items()}
+    loader = None
     try:
-        return yaml.load(text, Loader)
+        loader = Loader(text)
+        return read(yaml, loader)
     except yaml.YAMLError as e:
         raise FormatError(str(e)) from None
+    finally:
+        if loader is not None:
+            loader.dispose()
+
+
+def yaml_value(text: str) -> Any:
+    """The value of a YAML text; dates and the like stay text."""
+    return _yaml(text, lambda _, loader: loader.get_single_data())
+
+
+def yaml_pairs(text: str) -> list[tuple[Any, Any]]:
+    """The members of a YAML text that is one mapping, those of one name all of them."""
+
+    def read(yaml: Any, loader: Any) -> list[tuple[Any, Any]]:
+        node = loader.get_single_node()
+        if not isinstance(node, yaml.MappingNode):
+            raise FormatError("a corpus is an object of _meta and documents")
+        return loader.pairs(node)
+
+    return _yaml(text, read)
 
 
 def parse(text: str, kind: str) -> dict[str, Any]:
@@ -76,10 +107,9 @@ def parse(text: str, kind: str) -> dict[str, Any]:
 
 def with_ids(docs: DataFrame, catalog: Catalog, check: bool = True) -> DataFrame:
     """Documents with ids made from their content; ``check`` raises FormatError where a given doc_id and the new one differ in what both have."""
-    named = docs.withColumn("_given", F.col("doc_id"))
+    named = stored(docs.withColumn("_given", F.col("doc_id")), "read")  # decoded once, for all that follows
     out = ids.assign(named, catalog)
     if check:
-        out = cut(out)  # read once, for the check and for the caller
         n = F.least(F.length("_given"), F.length("doc_id"))
         wrong = out.where(F.expr("_given is not null") & (F.left("_given", n) != F.left("doc_id", n))).select("_given", "doc_id").head()
         if wrong:
@@ -87,26 +117,188 @@ def with_ids(docs: DataFrame, catalog: Catalog, check: bool = True) -> DataFrame
     return out.drop("_given")
 
 
-def _from_object(spark: SparkSession, value: dict[str, Any], header_only: bool, ignore_id_errors: bool, catalog: Catalog | None) -> tuple[Catalog, DataFrame]:
-    catalog = Catalog.from_dict(value["_meta"]) if value.get("_meta") is not None else catalog or Catalog()
-    pairs = [] if header_only else [(k, v) for k, v in value.items() if k not in ("_meta", "_order")]
-    lines = spark.createDataFrame([(k, i, to_json({} if v is None else v)) for i, (k, v) in enumerate(pairs)], "doc_id string, doc_pos bigint, json string")
+_LINES = pa.schema([("doc_id", pa.string()), ("doc_pos", pa.int64()), ("json", pa.string())])
+_SPECIAL = ("_meta", "_order")
+#: Characters of a file that are read at once, and characters of YAML that are parsed at once.
+PIECE, CHUNK = 1 << 22, 1 << 18
+_SPACE = re.compile(r"[ \t\n\r]*")
+#: A line of YAML that begins a member of the outermost mapping.
+_KEY = re.compile(r"""([A-Za-z0-9+/_][\w+/=.-]*|"(?:[^"\\]|\\.)*"|'(?:[^']|'')*') *:(?=[ \t\r\n]|$)""")
+
+
+def json_members(source: TextIO) -> Iterator[tuple[str, str, Any]]:
+    """(name, value as it stands, value) of the members of the one object in an open JSON file, of which a piece and a member are held."""
+    decode, buf, at, ended = json.JSONDecoder().raw_decode, "", 0, False
+
+    def fill() -> None:
+        nonlocal buf, at, ended
+        got = source.read(max(PIECE, len(buf) - at))
+        buf, at, ended = buf[at:] + got, 0, not got
+
+    def sign() -> str:
+        """The next character that is no space, "" at the end."""
+        nonlocal at
+        while (at := _SPACE.match(buf, at).end()) == len(buf) and not ended:
+            fill()
+        return buf[at : at + 1]
+
+    def value() -> tuple[Any, str]:
+        nonlocal at
+        sign()
+        while True:
+            try:
+                out, end = decode(buf, at)
+                if end < len(buf) or ended:
+                    raw, at = buf[at:end], end
+                    return out, raw
+            except ValueError as e:
+                # what the end of the piece may have cut is tried again with more
+                if ended or (e.pos < len(buf) - 16 and not e.msg.startswith("Unterminated string")):
+                    raise FormatError(str(e)) from None
+            fill()
+
+    def wanted(signs: str) -> str:
+        nonlocal at
+        got = sign()
+        if not got or got not in signs:
+            raise FormatError(f"{got or 'the end'} where one of {signs} is due")
+        at += 1
+        return got
+
+    if sign() != "{":
+        raise FormatError("a corpus is an object of _meta and documents")
+    wanted("{")
+    if sign() == "}":
+        wanted("}")
+    else:
+        while True:
+            if sign() != '"':
+                raise FormatError("the name of a member is a text")
+            name = value()[0]
+            wanted(":")
+            out, raw = value()
+            yield name, raw, out
+            if wanted(",}") == "}":
+                break
+    if sign():
+        raise FormatError("there is more after the corpus")
+
+
+def _json_lines(spark: SparkSession, source: TextIO, header_only: bool) -> tuple[dict[str, Any], Spool, DataFrame | None]:
+    """What is no document, what was spooled, and the documents as rows (doc_id, doc_pos, json); those of one name are all kept."""
+    head, spool, n = {}, Spool(spark, _LINES), 0
+    for name, raw, value in json_members(source):
+        if name in _SPECIAL:
+            head[name] = value
+            if header_only and name == "_meta":
+                break
+        elif not header_only:
+            spool.add(name, n, "{}" if value is None else raw)
+            n += 1
+    return head, spool, None if header_only else spool.frame()
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, doc_pos, json, wrong) of chunks of YAML; wrong: why a chunk can't be read by itself."""
+    for batch in batches:
+        for first, text in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                pairs = yaml_pairs(text)
+                if not all(isinstance(k, str) and k not in _SPECIAL for k, _ in pairs):
+                    raise FormatError("a name that stands elsewhere")
+                rows = [(k, first + i, to_json({} if v is None else v), None) for i, (k, v) in enumerate(pairs)]
+            except Exception as e:  # noqa: BLE001
+                rows = [(None, first, None, str(e) or type(e).__name__)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "doc_pos", "json", "wrong"])
+
+
+def _yaml_lines(spark: SparkSession, source: TextIO, header_only: bool) -> tuple[dict[str, Any], Spool, DataFrame | None] | None:
+    """The same of YAML, cut before lines that begin a member and parsed on the executors; None if the file can't be cut so.
+
+    A cut within a text or a list that goes on leaves one open and an alias without its anchor is unknown, so such chunks
+    fail; marks of documents, directives and other lines without indent aren't cut at all.
+    """
+    head: dict[str, Any] = {}
+    spool, lines, special, size, first, n, began = Spool(spark, pa.schema([("first", pa.int64()), ("text", pa.string())])), [], None, 0, 0, 0, False
+
+    def end() -> None:
+        nonlocal lines, size, first
+        if special:
+            head[special] = parse("".join(lines), "yaml")[special]
+        elif began and not header_only:
+            spool.add(first, "".join(lines))
+        lines, size, first = [], 0, n
+
+    try:
+        for line in source:
+            if line[0] not in " \t\r\n#" and not (began and re.match(r"-\s", line)):
+                key = _KEY.match(line)
+                if not key and (began or line.strip() != "---"):
+                    return None
+                if key:
+                    name = key[1].strip("\"'")
+                    if special or name in _SPECIAL or size >= CHUNK or not began:
+                        end()
+                        if header_only and special == "_meta":
+                            return head, spool, None
+                        special = name if name in _SPECIAL else None
+                    n, began = n + (special is None), True
+            if not (header_only and special is None):
+                lines.append(line)
+                size += len(line)
+        end()
+    except (FormatError, KeyError):
+        return None
+    if not began:
+        return None
+    if header_only:
+        return head, spool, None
+    rows = stored(spool.frame().select("first", "text").mapInArrow(_parsed, "doc_id string, doc_pos bigint, json string, wrong string"), "yaml")
+    return None if rows.where("wrong is not null").head() else (head, spool, rows.select("doc_id", "doc_pos", "json"))
+
+
+def _whole(spark: SparkSession, text: str, header_only: bool) -> tuple[dict[str, Any], Spool, DataFrame | None]:
+    """The same of YAML that can't be cut: the driver parses it whole."""
+    pairs, spool = yaml_pairs(text), Spool(spark, _LINES)
+    for i, (k, v) in enumerate((k, v) for k, v in pairs if k not in _SPECIAL and not header_only):
+        spool.add(k, i, to_json({} if v is None else v))
+    return {k: v for k, v in pairs if k in _SPECIAL}, spool, None if header_only else spool.frame()
+
+
+def read_open(spark: SparkSession, source: TextIO, kind: str = "yaml", header_only: bool = False, ignore_id_errors: bool = False, catalog: Catalog | None = None) -> tuple[Catalog, DataFrame]:
+    """A corpus from an open JSON or YAML file. The driver reads it once, a piece at a time, and hands documents on through the shared folder.
+
+    With ``header_only`` it reads no further than ``_meta``. YAML that can't be cut at its members is read whole.
+    """
+    found = (_json_lines if kind == "json" else _yaml_lines)(spark, source, header_only)
+    if found is None:
+        source.seek(0)
+        found = _whole(spark, source.read(), header_only)
+    head, spool, lines = found
+    catalog = Catalog.from_dict(head["_meta"]) if head.get("_meta") is not None else catalog or Catalog()
+    if lines is None:
+        spool.drop()
+        return catalog, spark.createDataFrame([], StructType.fromDDL(ingest.schema(catalog)))
     docs = with_ids(ingest.from_json_lines(lines, catalog), catalog, not ignore_id_errors)
-    order = None if header_only else value.get("_order")
-    if order is not None:
-        places = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "doc_id string, pos bigint")
-        # the order is in the file that the driver has just read
-        docs = docs.select("doc_id", *[f"`{n}`" for n in catalog], "_extra").join(F.broadcast(places.withColumnRenamed("pos", "doc_pos")), "doc_id")
+    spool.drop()
+    if head.get("_order") is not None:
+        places = Spool(spark, pa.schema([("doc_id", pa.string()), ("doc_pos", pa.int64())]))
+        for i, x in enumerate(head["_order"]):
+            places.add(x, i)
+        # documents of one name take its mentions in turn
+        turn = lambda df: df.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_pos")))
+        moved = turn(docs.select("doc_id", "doc_pos")).join(turn(places.frame()).withColumnRenamed("doc_pos", "_to"), ["doc_id", "_turn"]).select("doc_pos", "_to")
+        docs = docs.join(moved, "doc_pos").withColumn("doc_pos", F.col("_to"))
     return catalog, docs.select("doc_id", "doc_pos", *[f"`{n}`" for n in catalog], "_extra")
 
 
 def read_string(spark: SparkSession, text: str, kind: str = "yaml", header_only: bool = False, ignore_id_errors: bool = False, catalog: Catalog | None = None) -> tuple[Catalog, DataFrame]:
     """A corpus from a JSON or YAML text."""
-    return _from_object(spark, parse(text, kind), header_only, ignore_id_errors, catalog)
+    return read_open(spark, io.StringIO(text), kind, header_only, ignore_id_errors, catalog)
 
 
 def read_file(spark: SparkSession, path: str, kind: str | None = None, header_only: bool = False, ignore_id_errors: bool = False, catalog: Catalog | None = None) -> tuple[Catalog, DataFrame]:
-    """A corpus from one JSON or YAML file that the driver reads whole (neither can be split), or from a JSON lines file or store."""
+    """A corpus from one JSON or YAML file that the driver reads through, or from a JSON lines file or store."""
     kind = kind or guess_format(path)
     if kind == "store":
         return read_store(spark, path)[:2]
@@ -119,15 +311,18 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, header_on
 
         return binary.read_file(spark, path)
     with gzip.open(path, "rt", encoding="utf-8") if path.endswith(".gz") else open(path, encoding="utf-8") as f:
-        return read_string(spark, f.read(), kind, header_only, ignore_id_errors, catalog)
+        return read_open(spark, f, kind, header_only, ignore_id_errors, catalog)
 
 
 def read_url(spark: SparkSession, url: str, **options: Any) -> tuple[Catalog, DataFrame]:
     """A YAML (or by suffix other) corpus from http, https or file."""
-    with urllib.request.urlopen(url) as f:  # noqa: S310
-        raw = f.read()
-    text = (gzip.decompress(raw) if url.endswith(".gz") else raw).decode()
-    return read_string(spark, text, options.pop("kind", None) or {"json": "json"}.get(guess_format(url), "yaml"), **options)
+    kind = options.pop("kind", None) or {"json": "json"}.get(guess_format(url), "yaml")
+    with tempfile.TemporaryFile() as kept:
+        with urllib.request.urlopen(url) as f:  # noqa: S310
+            shutil.copyfileobj(f, kept, PIECE)
+        kept.seek(0)
+        with gzip.open(kept, "rt", encoding="utf-8") if url.endswith(".gz") else io.TextIOWrapper(kept, "utf-8") as text:
+            return read_open(spark, text, kind, **options)
 
 
 def read_many(spark: SparkSession, path: str, kind: str = "json", ignore_id_errors: bool = False) -> tuple[Catalog, DataFrame]:
@@ -166,20 +361,34 @@ def write_jsonl(docs: DataFrame, catalog: Catalog, path: str) -> None:
     ingest.to_json_lines(docs, catalog).select("json").write.mode("overwrite").text(path)
 
 
-def ordered(docs: DataFrame, catalog: Catalog) -> Iterable[tuple[str, dict[str, Any]]]:
-    """(id, wire form) of all documents in order, fetched partition by partition."""
-    for r in ingest.to_json_lines(docs, catalog).orderBy("doc_pos").toLocalIterator():
-        yield r["doc_id"], json.loads(r["json"])
+def _members(docs: DataFrame, catalog: Catalog, form: Callable[[str, dict[str, Any]], str]) -> DataFrame:
+    """All documents in order as one text column; sorted first, so that the texts are made once."""
+    return ingest.to_json_lines(docs.orderBy("doc_pos"), catalog, form).select("json")
+
+
+def _json_member(doc_id: str, wire: dict[str, Any]) -> str:
+    return to_json(doc_id) + ":" + to_json(wire)
 
 
 def write_json(docs: DataFrame, catalog: Catalog, out: Any) -> None:
-    """The corpus as one JSON object, ``_meta`` first, layers sorted by name."""
+    """The corpus as one JSON object, ``_meta`` first, layers sorted by name, fetched partition by partition."""
     out.write('{"_meta":' + to_json(catalog.to_dict()))
-    for doc_id, wire in ordered(docs, catalog):
-        out.write("," + to_json(doc_id) + ":" + to_json(wire))
+    for r in _members(docs, catalog, _json_member).toLocalIterator():
+        out.write("," + r[0])
     out.write("}")
 
 
+def write_json_file(docs: DataFrame, catalog: Catalog, path: str) -> None:
+    """What ``write_json`` writes, made on the executors and put together by the driver."""
+    with open(path, "wb") as out, written(_members(docs, catalog, _json_member), ",") as parts:
+        out.write(('{"_meta":' + to_json(catalog.to_dict())).encode())
+        for part in parts:
+            if os.fstat(part.fileno()).st_size:
+                out.write(b",")
+                copy(part, out, 1)
+        out.write(b"}")
+
+
 _PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 # Words that YAML takes for something else than text.
 _WORDS = {"", "~", "null", "true", "false", "yes", "no", "on", "off", "y", "n"}
@@ -204,15 +413,31 @@ def _yaml_header(catalog: Catalog) -> Iterator[str]:
                     yield f"        {key}: {yaml_scalar(value) if isinstance(value, str) else to_json(value)}\n"
 
 
+def _yaml_member(catalog: Catalog) -> Callable[[str, dict[str, Any]], str]:
+    def member(doc_id: str, wire: dict[str, Any]) -> str:
+        lines = [f"{doc_id}:" if wire else f"{doc_id}: {{}}"]
+        for name, value in wire.items():
+            is_text = isinstance(value, str) and not name.startswith("_") and catalog[name].layer_type is LayerType.characters
+            lines.append(f"    {name}: {yaml_scalar(value) if is_text else to_json(value)}")
+        return "\n".join(lines)
+
+    return member
+
+
 def write_yaml(docs: DataFrame, catalog: Catalog, out: Any) -> None:
     """The corpus as YAML: four spaces a level, texts as scalars, other layers as JSON on one line, names sorted."""
     for line in _yaml_header(catalog):
         out.write(line)
-    for doc_id, wire in ordered(docs, catalog):
-        out.write(f"{doc_id}:\n" if wire else f"{doc_id}: {{}}\n")
-        for name, value in wire.items():
-            is_text = isinstance(value, str) and not name.startswith("_") and catalog[name].layer_type is LayerType.characters
-            out.write(f"    {name}: {yaml_scalar(value) if is_text else to_json(value)}\n")
+    for r in _members(docs, catalog, _yaml_member(catalog)).toLocalIterator():
+        out.write(r[0] + "\n")
+
+
+def write_yaml_file(docs: DataFrame, catalog: Catalog, path: str) -> None:
+    """What ``write_yaml`` writes, made on the executors and put together by the driver."""
+    with open(path, "wb") as out, written(_members(docs, catalog, _yaml_member(catalog)), "\n") as parts:
+        out.writelines(line.encode() for line in _yaml_header(catalog))
+        for part in parts:
+            copy(part, out)
 
 
 def write_store(docs: DataFrame, catalog: Catalog, path: str, indexes: Mapping[str, DataFrame] | None = None) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
@@ -93,15 +93,15 @@ def from_json_lines(lines: DataFrame, catalog: Catalog) -> DataFrame:
     return lines.select("doc_id", "doc_pos", "json").mapInArrow(run, schema(catalog))
 
 
-def to_json_lines(docs: DataFrame, catalog: Catalog) -> DataFrame:
-    """(doc_id, doc_pos, json) of documents, names of layers sorted, the inverse of ``from_json_lines``."""
+def to_json_lines(docs: DataFrame, catalog: Catalog, form: Callable[[str, dict[str, Any]], str] = lambda _, wire: to_json(wire)) -> DataFrame:
+    """(doc_id, doc_pos, json) of documents, names of layers sorted, the inverse of ``from_json_lines``; ``form`` writes (id, wire form) otherwise."""
     names = list(catalog)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(lo, BATCH).to_pylist()
-                out = [to_json(document_of(r, catalog).wire()) for r in rows]
+                out = [form(r["doc_id"], document_of(r, catalog).wire()) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.string()), pa.array([r["doc_pos"] for r in rows], pa.int64()), pa.array(out, pa.string())], ["doc_id", "doc_pos", "json"])
 
     return docs.select(F.col("doc_id").cast("string"), "doc_pos", *[F.col(f"`{n}`") for n in names], "_extra").mapInArrow(run, "doc_id string, doc_pos bigint, json string")
