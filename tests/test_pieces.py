@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_corpus import FIRST, META, SECOND, YAML
+from tierlake import queries
 from tierlake.corpus import Corpus
 from tierlake.errors import FormatError
 from tierlake.operators import ids
@@ -97,3 +98,8 @@ def test_a_text_too_long_for_the_binary_format_is_a_format_error(spark, tmp_path
     with pytest.raises(FormatError):
         corpus.write(str(tmp_path / "c.cuac"))
     assert binary.Reader(io.BytesIO(b"")).more() is None
+
+
+def test_a_pipe_is_not_gathered_on_the_driver(spark, small, monkeypatch):
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("documents are gathered"))
+    assert queries.queries()["channel_pipe"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()

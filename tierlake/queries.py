@@ -24,6 +24,7 @@ from tierlake.operators.render import render
 from tierlake.plans import planner
 from tierlake.plans.shared import cut, numbered, shared_dir
 from tierlake.sources import binary, files, ingest
+from tierlake.sources.spool import Spool
 from tierlake.streaming import channel, jsonl
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -304,8 +305,13 @@ def _piped(s: SparkSession, d: str) -> DataFrame:
         for r in _DOCS(s, d).orderBy("doc_id").select("text").toLocalIterator():
             sender.add_doc({} if r["text"] is None else {"text": r["text"]})
 
-    got = channel.pipe(produce, lambda receiver: [(i, doc.get("text")) for i, doc in receiver])
-    return s.createDataFrame(got, "id string, text string").select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    def consume(receiver: channel.Receiver) -> DataFrame:
+        spool = Spool(s, pa.schema([("id", pa.string()), ("text", pa.string())]))
+        for i, doc in receiver:
+            spool.add(i, doc.get("text"))
+        return spool.frame()
+
+    return channel.pipe(produce, consume).select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
 
 
 def _described(s: SparkSession, d: str) -> DataFrame:
