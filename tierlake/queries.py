@@ -250,6 +250,7 @@ def _through(name: str) -> Run:
         if name.endswith(".gz"):
             with open(path.removesuffix(".gz"), "rb") as plain, gzip.open(path, "wb") as packed:
                 shutil.copyfileobj(plain, packed)
+            os.remove(path.removesuffix(".gz"))
         return _contents(Corpus.read(s, path).docs)
 
     return run
