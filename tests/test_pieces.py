@@ -2,6 +2,8 @@
 
 import io
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,32 @@ def test_a_text_too_long_for_the_binary_format_is_a_format_error(spark, tmp_path
 def test_a_pipe_is_not_gathered_on_the_driver(spark, small, monkeypatch):
     monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("documents are gathered"))
     assert queries.queries()["channel_pipe"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_texts_are_shuffled_once_before_they_are_sorted(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries._tagged(spark, small)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange *\nInput \[\d+\]: \[[^\]]*\btext#", plan)) == 1
+
+
+def test_shuffles_are_dropped_before_parts_are_read(spark):
+    held = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    rows, before, kept = spark.range(1000).selectExpr("cast(id as string) as x").orderBy("x"), held(), spark.conf.get(spool.TIDY)
+    with spool.written(rows) as parts:
+        ends = time.time() + 10
+        while held() - before and time.time() < ends:
+            time.sleep(0.1)
+        assert not held() - before
+        assert [x for part in parts for x in spool.texts(part)] == sorted(str(i).encode() for i in range(1000))
+    assert spark.conf.get(spool.TIDY) == kept
+
+
+@pytest.mark.parametrize("name", ["file_json", "file_yaml", "file_binary", "file_gzip"])
+def test_a_file_is_dropped_once_it_is_read(spark, small, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(queries, "_local", lambda *_: str(tmp_path))
+    docs = queries.queries()[name](spark, small)
+    assert not list(tmp_path.iterdir())
+    assert docs.count() == spark.read.parquet(f"{small}/documents.parquet").count()

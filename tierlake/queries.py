@@ -203,9 +203,9 @@ _TAGGED = type(CATALOG)({n: CATALOG[n] for n in ("text", "words", "pos", "lemma"
 
 
 def _tagged(s: SparkSession, d: str) -> DataFrame:
-    """The documents with the layers of _TAGGED and ids by content."""
-    named = ids.assign(_text_corpus(s, d), _TEXT_ONLY).select("doc_pos", "doc_id")
-    return corpus(s, d, "pos", "lemma", "entities").drop("doc_id").join(named, "doc_pos").select("doc_id", "doc_pos", *_TAGGED, F.expr("cast(map() as map<string,string>)").alias("_extra"))
+    """The documents with the layers of _TAGGED and ids by content, joined by the key that their layers are, so that texts aren't shuffled again."""
+    named = ids.assign(_text_corpus(s, d), _TEXT_ONLY).select(F.col("doc_pos").alias("doc_id"), F.col("doc_id").alias("id"))
+    return corpus(s, d, "pos", "lemma", "entities").join(named, "doc_id").select(F.col("id").alias("doc_id"), "doc_pos", *_TAGGED, F.expr("cast(map() as map<string,string>)").alias("_extra"))
 
 
 #: The same for the binary format, whose values of a layer are of one kind and of an enumeration its members alone.
@@ -251,7 +251,9 @@ def _through(name: str) -> Run:
             with open(path.removesuffix(".gz"), "rb") as plain, gzip.open(path, "wb") as packed:
                 shutil.copyfileobj(plain, packed)
             os.remove(path.removesuffix(".gz"))
-        return _contents(Corpus.read(s, path).docs)
+        docs = Corpus.read(s, path).docs
+        os.remove(path)
+        return _contents(docs)
 
     return run
 

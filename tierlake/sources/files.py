@@ -28,7 +28,7 @@ from tierlake.meta import Catalog, LayerType
 from tierlake.operators import ids
 from tierlake.plans.shared import numbered, stored
 from tierlake.sources import ingest
-from tierlake.sources.spool import Spool, copy, written
+from tierlake.sources.spool import Spool, texts, written
 
 # The format of each suffix; others are YAML.
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".cuac": "binary", ".tcf": "binary"}
@@ -380,12 +380,10 @@ def write_json(docs: DataFrame, catalog: Catalog, out: Any) -> None:
 
 def write_json_file(docs: DataFrame, catalog: Catalog, path: str) -> None:
     """What ``write_json`` writes, made on the executors and put together by the driver."""
-    with open(path, "wb") as out, written(_members(docs, catalog, _json_member), ",") as parts:
+    with open(path, "wb") as out, written(_members(docs, catalog, _json_member)) as parts:
         out.write(('{"_meta":' + to_json(catalog.to_dict())).encode())
         for part in parts:
-            if os.fstat(part.fileno()).st_size:
-                out.write(b",")
-                copy(part, out, 1)
+            out.writelines(b"," + text for text in texts(part))
         out.write(b"}")
 
 
@@ -434,10 +432,10 @@ def write_yaml(docs: DataFrame, catalog: Catalog, out: Any) -> None:
 
 def write_yaml_file(docs: DataFrame, catalog: Catalog, path: str) -> None:
     """What ``write_yaml`` writes, made on the executors and put together by the driver."""
-    with open(path, "wb") as out, written(_members(docs, catalog, _yaml_member(catalog)), "\n") as parts:
+    with open(path, "wb") as out, written(_members(docs, catalog, _yaml_member(catalog))) as parts:
         out.writelines(line.encode() for line in _yaml_header(catalog))
         for part in parts:
-            copy(part, out)
+            out.writelines(text + b"\n" for text in texts(part))
 
 
 def write_store(docs: DataFrame, catalog: Catalog, path: str, indexes: Mapping[str, DataFrame] | None = None) -> None:

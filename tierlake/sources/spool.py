@@ -17,8 +17,9 @@ from tierlake.plans.shared import shared_dir
 
 #: Bytes or characters that the driver holds before it writes them as a file of the shared folder.
 PART = 8 << 20
-#: Bytes that are copied at once.
-BLOCK = 1 << 20
+#: Bytes of a column, and rows, that are read at once.
+BLOCK, ROWS = 1 << 20, 100
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -63,13 +64,25 @@ class Spool:
 
 
 @contextmanager
-def written(rows: DataFrame, end: str | None = None) -> Iterator[Iterator[BinaryIO]]:
-    """``rows`` as open files in the order of the frame's partitions, which are gone afterwards: one text column with ``end`` after each, or Parquet."""
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun within drop their shuffle files when they end; else these stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
+@contextmanager
+def written(rows: DataFrame) -> Iterator[Iterator[BinaryIO]]:
+    """``rows`` as open Parquet files in the order of the frame's partitions, which are gone afterwards."""
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/tierlake-parts-{uuid.uuid4().hex}"
     fs, at = _hadoop(spark, path)
     try:
-        rows.write.option("lineSep", end).text(path) if end else rows.write.parquet(path)
+        with _tidied(spark):
+            rows.write.option("compression", "zstd").parquet(path)
         names = sorted(p for p in (s.getPath().getName() for s in fs.listStatus(at)) if p.startswith("part-"))
 
         def opened() -> Iterator[BinaryIO]:
@@ -89,9 +102,12 @@ def written(rows: DataFrame, end: str | None = None) -> Iterator[Iterator[Binary
         fs.delete(at, True)
 
 
-def copy(source: BinaryIO, out: BinaryIO, less: int = 0) -> None:
-    """All but the last ``less`` bytes of an open file."""
-    left = os.fstat(source.fileno()).st_size - less
-    while left > 0 and (got := source.read(min(BLOCK, left))):
-        out.write(got)
-        left -= len(got)
+def batches(part: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """The rows of an open Parquet file, ROWS at a time."""
+    return pq.ParquetFile(part, buffer_size=BLOCK, pre_buffer=False).iter_batches(ROWS)
+
+
+def texts(part: BinaryIO) -> Iterator[bytes]:
+    """The texts of an open Parquet file of one column."""
+    for batch in batches(part):
+        yield from batch.column(0).cast(pa.binary()).to_pylist()
