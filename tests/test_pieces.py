@@ -5,6 +5,7 @@ import json
 import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,12 @@ def test_a_file_is_dropped_once_it_is_read(spark, small, tmp_path, monkeypatch,
     docs = queries.queries()[name](spark, small)
     assert not list(tmp_path.iterdir())
     assert docs.count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_parts_of_the_binary_format_are_packed(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(binary, "batches", lambda part: seen.append(pq.ParquetFile(part).metadata.row_group(0).column(0).compression) or spool.batches(part))
+    corpus = Corpus(spark, META)
+    corpus.add_docs([FIRST, SECOND])
+    corpus.write(str(tmp_path / "c.cuac"))
+    assert set(seen) == {"ZSTD"}
