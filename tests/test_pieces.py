@@ -1,5 +1,6 @@
 """Files of one piece, read and written a part at a time."""
 
+import gzip
 import io
 import json
 import re
@@ -129,7 +130,7 @@ def test_shuffles_are_dropped_before_parts_are_read(spark):
     assert spark.conf.get(spool.TIDY) == kept
 
 
-@pytest.mark.parametrize("name", ["file_json", "file_yaml", "file_binary", "file_gzip"])
+@pytest.mark.parametrize("name", ["file_json", "file_yaml", "file_binary", "file_gzip", "file_url"])
 def test_a_file_is_dropped_once_it_is_read(spark, small, tmp_path, monkeypatch, name):
     monkeypatch.setattr(queries, "_local", lambda *_: str(tmp_path))
     docs = queries.queries()[name](spark, small)
@@ -144,3 +145,14 @@ def test_parts_of_the_binary_format_are_packed(spark, tmp_path, monkeypatch):
     corpus.add_docs([FIRST, SECOND])
     corpus.write(str(tmp_path / "c.cuac"))
     assert set(seen) == {"ZSTD"}
+
+
+def test_a_url_of_json_is_read_without_a_copy(spark, tmp_path, monkeypatch):
+    corpus = Corpus(spark, META)
+    corpus.add_docs([FIRST, SECOND])
+    for name in ("c.json", "c.json.gz"):
+        path = tmp_path / name
+        raw = corpus.to_json_str().encode()
+        path.write_bytes(gzip.compress(raw) if name.endswith(".gz") else raw)
+        monkeypatch.setattr(files.shutil, "copyfileobj", lambda *_: pytest.fail("the file is copied"))
+        assert Corpus.read_url(spark, f"file://{path}").to_json_str() == corpus.to_json_str()

@@ -261,7 +261,9 @@ def _through(name: str) -> Run:
 def _by_url(s: SparkSession, d: str) -> DataFrame:
     path = f"{_local(s, 'url')}/corpus.json"
     Corpus(s, _TAGGED, _tagged(s, d)).write(path)
-    return _contents(Corpus.read_url(s, f"file://{path}").docs)
+    docs = Corpus.read_url(s, f"file://{path}").docs
+    os.remove(path)
+    return _contents(docs)
 
 
 def _many(s: SparkSession, d: str) -> DataFrame:

@@ -317,11 +317,12 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, header_on
 def read_url(spark: SparkSession, url: str, **options: Any) -> tuple[Catalog, DataFrame]:
     """A YAML (or by suffix other) corpus from http, https or file."""
     kind = options.pop("kind", None) or {"json": "json"}.get(guess_format(url), "yaml")
-    with tempfile.TemporaryFile() as kept:
-        with urllib.request.urlopen(url) as f:  # noqa: S310
-            shutil.copyfileobj(f, kept, PIECE)
-        kept.seek(0)
-        with gzip.open(kept, "rt", encoding="utf-8") if url.endswith(".gz") else io.TextIOWrapper(kept, "utf-8") as text:
+    with tempfile.TemporaryFile() as kept, urllib.request.urlopen(url) as source:  # noqa: S310
+        if kind != "json":  # YAML may have to be read again
+            shutil.copyfileobj(source, kept, PIECE)
+            kept.seek(0)
+            source = kept
+        with gzip.open(source, "rt", encoding="utf-8") if url.endswith(".gz") else io.TextIOWrapper(source, "utf-8") as text:
             return read_open(spark, text, kind, **options)
 
 
