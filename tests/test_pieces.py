@@ -138,6 +138,11 @@ def test_a_file_is_dropped_once_it_is_read(spark, small, tmp_path, monkeypatch,
     assert docs.count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
+def test_a_file_is_dropped_once_its_header_is_read(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_local", lambda *_: str(tmp_path))
+    assert queries.queries()["yaml_header"](spark, small).count() == len(queries._TAGGED) and not list(tmp_path.iterdir())
+
+
 def test_parts_of_the_binary_format_are_packed(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(binary, "batches", lambda part: seen.append(pq.ParquetFile(part).metadata.row_group(0).column(0).compression) or spool.batches(part))

@@ -337,6 +337,7 @@ def _header(s: SparkSession, d: str) -> DataFrame:
     path = f"{_local(s, 'header')}/corpus.yaml"
     Corpus(s, _TAGGED, _tagged(s, d)).write(path)
     head = Corpus.read(s, path, header_only=True)
+    os.remove(path)
     return s.createDataFrame([(n, x.layer_type.value, x.base, head.docs.count()) for n, x in head.catalog.items()], "layer string, type string, base string, documents bigint")
 
 
