@@ -3,8 +3,10 @@
 import gzip
 import io
 import json
+import os
 import re
 import time
+import tracemalloc
 
 import pyarrow.parquet as pq
 import pytest
@@ -161,3 +163,22 @@ def test_a_url_of_json_is_read_without_a_copy(spark, tmp_path, monkeypatch):
         path.write_bytes(gzip.compress(raw) if name.endswith(".gz") else raw)
         monkeypatch.setattr(files.shutil, "copyfileobj", lambda *_: pytest.fail("the file is copied"))
         assert Corpus.read_url(spark, f"file://{path}").to_json_str() == corpus.to_json_str()
+
+
+@pytest.mark.parametrize("name", ["c.json"])
+def test_the_driver_holds_a_small_part_of_a_file(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(files, "PIECE", 1 << 18)
+    monkeypatch.setattr(spool, "PART", 1 << 18)
+    n = 2000
+    docs = spark.range(n).select(F.lit(None).cast("string").alias("doc_id"), F.col("id").alias("doc_pos"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 160).alias("text"), F.expr("cast(map() as map<string,string>)").alias("_extra"))
+    corpus = Corpus(spark, TEXT)
+    corpus.docs = ids.assign(docs, corpus.catalog).select("doc_id", "doc_pos", "text", "_extra")
+    tracemalloc.start()
+    try:
+        corpus.write(path := str(tmp_path / name))
+        back = Corpus.read(spark, path)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert back.docs.count() == n
+    assert peak < os.path.getsize(path) / 3
