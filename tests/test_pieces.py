@@ -165,7 +165,7 @@ def test_a_url_of_json_is_read_without_a_copy(spark, tmp_path, monkeypatch):
         assert Corpus.read_url(spark, f"file://{path}").to_json_str() == corpus.to_json_str()
 
 
-@pytest.mark.parametrize("name", ["c.json"])
+@pytest.mark.parametrize("name", ["c.json", "c.cuac"])
 def test_the_driver_holds_a_small_part_of_a_file(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(files, "PIECE", 1 << 18)
     monkeypatch.setattr(spool, "PART", 1 << 18)
